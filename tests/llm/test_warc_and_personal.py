@@ -74,6 +74,6 @@ def test_warc_edges(spark, tmp_path, split):
     df = spark.createDataFrame([Row(page_id=p, url=u, html=h, size=1) for p, u, h in pages], "page_id long, url string, html string, size int")
     rows = warc.read(warc.write(df, f"file://{tmp_path}/{split}"), split).collect()
     got = sorted([(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows], key=str)
-    assert got == sorted([(1, 1, "response", None), (2, 0, "response", None), (3, 0, "revisit", 2), (None, 1, "revisit", 1), (4, 100_000, "response", None), (4, 100_000, "response", None), (0, 9, "response", None), (None, 6, "response", None)], key=str)
+    assert got == sorted([(1, 1, "response", None), (2, 0, "response", None), (3, 0, "revisit", 2), (None, 1, "revisit", 1), (4, 100_000, "response", None), (4, 100_000, "response", None), (0, 10, "response", None), (None, 6, "response", None)], key=str)
     assert {bytes(r.payload).decode() for r in rows if r.record_type == "response"} == {"x", "", "é" * 50_000, "lone \x1f\r\n\r\n", "nobody"}
     assert warc.round_trip(df.limit(0)).count() == 0
