@@ -52,6 +52,7 @@ def masked(tokenised: DataFrame, templates: DataFrame | None, params: Params = P
     joined = tokenised.join(side, "assignment_id", "left").select(*tokenised.columns, "template")
     schema = T.StructType([*tokenised.schema.fields, T.StructField("mask", T.ArrayType(T.BooleanType()))])
     floor = max(params.minimum_comment_length, params.comment_floor)
+    names = tokenised.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +74,9 @@ def masked(tokenised: DataFrame, templates: DataFrame | None, params: Params = P
                         kept.append(c)
                 comments.append(kept)
             at = batch.schema.get_field_index("comments")
-            columns = [batch.column(c) for c in tokenised.columns]
-            columns[tokenised.columns.index("comments")] = pa.array(comments, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(masks, pa.list_(pa.bool_()))], names=schema.names)
+            columns = [batch.column(c) for c in names]
+            columns[names.index("comments")] = pa.array(comments, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(masks, pa.list_(pa.bool_()))], names=[*names, "mask"])
 
     return joined.mapInArrow(run, schema)
 
@@ -196,3 +197,20 @@ def analyze(submissions: DataFrame, templates: DataFrame | None = None, params:
     rest = allowed_pairs(submissions)
     out = rest.join(found.drop("left_id", "right_id"), "pair_id", "left")
     return out.select("pair_id", "left_id", "right_id", F.coalesce("similarity_score", F.lit(0.0)).alias("similarity_score"), F.coalesce("matched_token_count", F.lit(0)).alias("matched_token_count"), F.coalesce("matches", F.array().cast(MATCHES)).alias("matches"))
+
+
+def tiles(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
+    """The tiles of each pair in the order of their acceptance."""
+    l = tokens.select(F.col("submission_id").alias("left_id"), F.col("tokens").alias("lt"), F.col("mask").alias("lm"))
+    r = tokens.select(F.col("submission_id").alias("right_id"), F.col("tokens").alias("rt"), F.col("mask").alias("rm"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                pair, *side = (batch.column(c)[k].as_py() for c in range(5))
+                rows += [(pair, seq, *t) for seq, t in enumerate(tiling.greedy_tiles(side[0], side[1], side[2], side[3], least))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] + [pa.int32()] * 4)], names=["pair_id", "seq", "left_start", "right_start", "length"])
+
+    return pairs.join(l, "left_id").join(r, "right_id").select("pair_id", "lt", "rt", "lm", "rm").mapInArrow(run, "pair_id string, seq int, left_start int, right_start int, length int")

@@ -1,4 +1,54 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL. Those without SQL are tested against literal versions."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.config import Params
+from tessella.operators import similarity
+from tessella.plans import relational
+
+
+def prose_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(
+        F.col("doc_id").cast("string").alias("submission_id"), F.col("source").alias("assignment_id"), F.when(F.col("doc_id") % 5 == 0, "historical").otherwise("current").alias("kind"),
+        F.col("doc_id").alias("ord"), F.lit("prose").alias("language"), F.col("text").alias("source"), F.lit(None).cast(similarity.SOURCE_MAP).alias("source_map"),
+    )
+
+
+def prose_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items as one template of each assignment: instructors' material, so a small table."""
+    text = spark.read.parquet(f"{sf_dir}/benchmark.parquet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), "\n").alias("source"))
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("assignment_id")).distinct()
+    return ids.crossJoin(text).select("assignment_id", F.lit("prose").alias("language"), "source", F.lit(None).cast(similarity.SOURCE_MAP).alias("source_map"))
+
+
+def tokens(spark: SparkSession, sf_dir: str, template: bool = True) -> DataFrame:
+    return similarity.masked(similarity.tokenise(prose_submissions(spark, sf_dir)), similarity.tokenise(prose_templates(spark, sf_dir)) if template else None).persist()
+
+
+def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all pairs that share anything; the flagship."""
+    found = similarity.compared(similarity.candidates(t := tokens(spark, sf_dir)), t)
+    return found.select("pair_id", "left_id", "right_id", "similarity_score", "matched_token_count", F.size("matches").alias("n_matches"))
+
+
+def template_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = F.size(F.filter("mask", lambda m: m))
+    return tokens(spark, sf_dir).select("submission_id", F.size("tokens").alias("n_tokens"), masked.alias("n_masked"))
+
+
+def cluster_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokens(spark, sf_dir)
+    return similarity.compared(similarity.candidates(t), t).select("pair_id", F.explode("matches").alias("m")).select("pair_id", "m.match_id", "m.left.token_start", "m.left.token_end", F.col("m.right.token_start").alias("right_start"), F.col("m.right.token_end").alias("right_end"), "m.matched_token_count")
+
+
+def gst_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokens(spark, sf_dir, template=False)
+    return similarity.tiles(similarity.candidates(t), t, Params().gst_min_match_length)
+
+
+QUERIES = {"pair_similarity": pair_similarity, "template_mask": template_mask, "cluster_regions": cluster_regions, "gst_tiles": gst_tiles, **relational.QUERIES}
+SQL = dict(relational.SQL)
