@@ -105,7 +105,7 @@ def span_to_file(t):
     p = t("pages").select("page_id", F.octet_length("html").alias("n"))
     p = p.withColumn("files", F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(700)), lambda a: F.struct(F.concat(F.lit("part-"), (a / 700).cast("int")).alias("path"), a.alias("a"), (a + 700).alias("b"))))
     spans = p.where("n > 200").select("page_id", "files", F.explode(F.sequence(F.lit(0), F.col("n") - 201, F.lit(300))).alias("bs"))
-    return spans.select("page_id", F.col("bs").cast("long").alias("bs"), F.filter("files", lambda f: (f["a"] <= F.col("bs")) & (F.col("bs") + 150 <= f["b"]))[0]["path"].alias("file_path"))
+    return spans.select("page_id", F.col("bs").cast("long").alias("bs"), F.get(F.filter("files", lambda f: (f["a"] <= F.col("bs")) & (F.col("bs") + 150 <= f["b"])), F.lit(0))["path"].alias("file_path"))
 
 
 @query("""SELECT doc_id, CAST(strlen(p) AS BIGINT) AS byte_offset, CAST(1 + length(p) - length(replace(p, chr(10), '')) AS BIGINT) AS line, CAST(1 + strlen(CASE WHEN strpos(p, chr(10)) = 0 THEN p ELSE regexp_extract(p, '[^\\n]*$') END) AS BIGINT) AS col
