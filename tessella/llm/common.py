@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a worker never holds more than one batch of texts.
-BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,5 +65,14 @@ def with_rid(df: DataFrame) -> DataFrame:
     return df.withColumn("rid", F.monotonically_increasing_id())
 
 
+def hashed_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """About `most` rows of df, never more than a quarter above: all if there are fewer, else those whose keys hash below the share. Unlike a sorted limit, no partition sends more than its part."""
+    share = most / max(df.count(), 1)
+    if share >= 1:
+        return df
+    cut = int(share * (1 << 40))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < cut).limit(most + most // 4)
+
+
 def text_column(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
