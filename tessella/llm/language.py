@@ -3,7 +3,7 @@
 Four kinds of evidence are multiplied: the likelihood of the text (byte trigrams of each language, and of none: `und`), what its markup
 declares, and what its address suggests: the languages of a host's texts, smoothed by those of all hosts with its suffix, smoothed by
 those of the whole corpus. The declarations' reliability and the priors are grouped aggregations over all rows. Only the trigram
-model is fitted on a bounded sample, SAMPLE rows with a declared language.
+model is fitted on a bounded sample, about SAMPLE rows with a declared language.
 
 Nulls and empty texts: a text without trigrams is no evidence, so declaration and prior decide; a null declaration is a kind of its own; a null address is a
 host of its own; a null doc_id is returned as null. Ties go to the first language of the alphabet. Repeated rows get equal
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_arrow, prepare, settle, table, text_column
+from tessella.llm.common import hashed_sample, map_arrow, prepare, settle, table, text_column
 
 SAMPLE, LEAST = 4_000, 3
 BUCKETS = 1 << 16
@@ -84,7 +84,7 @@ def identify(rows: DataFrame, text: Column, declared: Column, address: Column, s
     host = F.coalesce(F.regexp_extract(F.lower(address), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]*)", 1), F.lit(""))
     code = F.regexp_extract(F.lower(F.coalesce(declared, F.lit(""))), "^[a-z]{2,3}", 0)
     base = rows.select(F.col("doc_id").cast("long").alias("doc_id"), code.alias("declared"), host.alias("host"), text_column() if text is None else F.coalesce(text, F.lit("")).alias("text"))
-    fitted = base.where("declared <> '' and length(text) >= 3").orderBy(F.xxhash64("doc_id", "text")).limit(sample).select("declared", "text").collect()
+    fitted = hashed_sample(base.where("declared <> '' and length(text) >= 3"), sample, "doc_id", "text").select("declared", "text").collect()
     langs, model = train([(r.declared, r.text) for r in fitted])
     names = [*langs, NONE]
     scored = settle(map_arrow(base, _likelihoods, "doc_id long, declared string, host string, fit array<double>", model))
