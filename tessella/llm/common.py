@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -42,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: no lineage is left, so a lost executor costs a reread only."""
     out = df.checkpoint(eager=True)
-    df.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files that the written rows no longer need
+    del df
+    gc.collect()  # frames that nobody names any more are let go on the other side, too
+    out.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files that the written rows no longer need
     return out
 
 

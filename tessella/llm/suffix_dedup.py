@@ -181,7 +181,11 @@ def repeated(suffixes: DataFrame, total: int) -> DataFrame:
     """The suffixes that share the first token with another: rid, at, n; both: whether one shares both tokens; open: whether it speaks for suffixes with the same tokens where others share the first only (one or more of each such class do)."""
     spark = suffixes.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    dealt = settle(suffixes.repartitionByRange(n, "t1", "t2", "rid", "at").mapInArrow(_sort_bucket, BUCKETED))
+    dealt = suffixes.repartitionByRange(n, "t1", "t2", "rid", "at").mapInArrow(_sort_bucket, BUCKETED)
+    del suffixes  # no frame is named longer than it is needed: its shuffle files go with it
+    held = [dealt]
+    del dealt
+    dealt = settle(held.pop())
     # Two rows of each bucket, at most, tell what crosses the boundaries.
     ends = sorted(((r.bucket, r.t1, r.t2) for r in dealt.where("edge").select("bucket", "t1", "t2").collect()))
     cross1 = {a[1] for a, b in zip(ends, ends[1:]) if a[0] != b[0] and a[1] == b[1]}
@@ -238,14 +242,13 @@ def _strip(length: int):
 
 def spans(source: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """rid -> spans: array of (at, n), n repeated windows in a row from at. source: rid, text."""
-    marked = map_arrow(source.where(F.octet_length("text") >= length), _anchors, SUFFIX, length, block)
+    long = source.where(F.octet_length("text") >= length)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = settle(repeated(marked, 2 * size // (length - block + 2)))
+    groups = settle(repeated(map_arrow(long, _anchors, SUFFIX, length, block), 2 * size // (length - block + 2)))
     group = F.collect_list(F.struct("at", "n"))  # at most a text's own groups
     open_groups = settle(groups.where("open").groupBy("rid").agg(group.alias("groups")))
     left = open_groups.select(F.sum(F.aggregate("groups", F.lit(0).cast("long"), lambda a, x: a + x["n"]))).first()[0] or 0
-    windows = map_arrow(source.join(open_groups, "rid").select("rid", "text", "groups"), _windows, SUFFIX, length)
-    single = repeated(windows, left).where("both").select("rid", "at", "n")
+    single = repeated(map_arrow(long.join(open_groups, "rid").select("rid", "text", "groups"), _windows, SUFFIX, length), left).where("both").select("rid", "at", "n")
     return settle(groups.where("both").select("rid", "at", "n").union(single).groupBy("rid").agg(group.alias("spans")))
 
 
