@@ -68,3 +68,21 @@ def runnable(current: int, historical: int, uploads: int, runs: int) -> str | No
 def api_matched_tokens(matches: DataFrame) -> DataFrame:
     """The count that the review pages show: the distance of the tokens' ends, which are inclusive."""
     return matches.withColumn("api_matched_token_count", F.col("left.token_end") - F.col("left.token_start"))
+
+
+def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of new come in place of those with their key; columns that new has not keep their values, or are null in rows not seen before."""
+    kept = [c for c in existing.columns if c not in new.columns]
+    filled = new.join(existing.select(key, *kept), key, "left")
+    return existing.join(new.select(key), key, "left_anti").unionByName(filled.select(existing.columns))
+
+
+def delete_account(users: DataFrame, assignments: DataFrame, owned: dict[str, DataFrame], user_id: str, busy: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """A professor's account goes with the assignments and all rows of owned tables that are theirs. busy: assignments with work that is not finished; one of theirs there is an error."""
+    gone = assignments.where(F.col("professor_id") == user_id).select("assignment_id")
+    if users.where((F.col("user_id") == user_id) & (F.col("role") == "PROFESSOR")).isEmpty():
+        raise ValueError("that account is no longer available")
+    if busy is not None and not busy.join(gone, "assignment_id", "left_semi").isEmpty():
+        raise ValueError("assignments of the account have active jobs")
+    left = {name: t.join(gone, "assignment_id", "left_anti") for name, t in owned.items()}
+    return users.where(F.col("user_id") != user_id), assignments.where(~F.col("professor_id").eqNullSafe(user_id)), left

@@ -324,3 +324,70 @@ def owned_detail(t):
     owned = t("customer").join(t("nation").join(t("region").where("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
     orders = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.max("o_orderkey").alias("last_key"))
     return owned.join(orders, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", "n_orders", "last_key")
+
+
+@query("""SELECT doc_id, CAST(strlen(h) AS BIGINT) AS byte_offset, CAST(length(h) - length(replace(h, chr(10), '')) + 1 AS BIGINT) AS line,
+  CAST(length(regexp_extract(h, '[^\\n]*$')) + 1 AS BIGINT) AS column_number, CAST(strlen(h) AS BIGINT) AS back
+FROM (SELECT doc_id, left(text, length(text) // 2) AS h FROM documents WHERE text IS NOT NULL)""")
+def editor_positions(t):
+    from tessella.functions.forms import byte_offset, editor_position
+
+    at = F.octet_length(F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))
+    found = t("documents").where("text is not null").select("doc_id", "text", at.alias("byte_offset")).withColumn("p", editor_position(F.col("text"), F.col("byte_offset")))
+    back = byte_offset(F.col("text"), F.col("p.line"), F.col("p.column"))
+    return found.select("doc_id", F.col("byte_offset").cast("long"), F.col("p.line").cast("long").alias("line"), F.col("p.column").cast("long").alias("column_number"), back.cast("long").alias("back"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'not_ready' WHEN 'F' THEN 'failed' ELSE 'in_review' END AS s FROM orders)
+SELECT o_orderkey, CASE s WHEN 'not_ready' THEN 'not ready' ELSE replace(s, '_', ' ') END AS label,
+  CASE s WHEN 'not_ready' THEN 'More prepared submissions are needed before running.' WHEN 'failed' THEN 'The latest comparison attempt failed.' ELSE 'Status updated.' END AS said,
+  CASE s WHEN 'not_ready' THEN 'At least one current submission and two non-template submissions are required.' WHEN 'failed' THEN 'No current results are available because the latest run failed.' ELSE 'Run a comparison to see suspicious pairs.' END AS empty_said FROM o""")
+def status_texts(t):
+    from tessella.functions.forms import empty_text, status_label, status_text
+
+    s = F.when(F.col("o_orderstatus") == "O", "not_ready").when(F.col("o_orderstatus") == "F", "failed").otherwise("in_review")
+    return t("orders").select("o_orderkey", status_label(s).alias("label"), status_text(s).alias("said"), empty_text(s).alias("empty_said"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN left(o_orderpriority, 120) WHEN o_orderkey % 5 = 1 THEN 'This upload finished with warnings.'
+  WHEN o_orderstatus = 'F' THEN 'This upload did not finish successfully.' WHEN o_orderstatus = 'O' THEN 'Waiting to be processed.' ELSE 'This upload finished successfully.' END AS summary FROM orders""")
+def upload_summaries(t):
+    from tessella.functions.forms import upload_summary
+
+    status = F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "O", "Queued").otherwise("ready")
+    k = F.col("o_orderkey") % 5
+    return t("orders").select("o_orderkey", upload_summary(status, F.when(k == 0, F.col("o_orderpriority")), F.when(k == 1, F.lit("w"))).alias("summary"))
+
+
+@query("""SELECT c_custkey, lower(c_name) || '@x.org' AS email, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS department,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-01-31 12:00:00' END AS due,
+  CASE WHEN c_custkey % 2 = 0 THEN 'k' || c_nationkey END AS key_id FROM customer""")
+def typed_fields(t):
+    from tessella.functions.forms import due_date, email, encrypted_identity, optional_field
+
+    third = F.col("c_custkey") % 3 == 0
+    token = F.concat(F.lit(" sidenc:v1:k"), F.col("c_nationkey"), F.when(F.col("c_custkey") % 2 == 0, ":abc_-9 ").otherwise(":a b"))
+    return t("customer").select(
+        "c_custkey", email(F.concat(F.lit(" \t"), F.col("c_name"), F.lit("@X.org\n"))).alias("email"), optional_field(F.when(third, F.lit("  ")).otherwise(F.concat(F.col("c_mktsegment"), F.lit(" ")))).alias("department"),
+        due_date(F.when(third, F.lit(" ")).otherwise(F.lit(" 2024-01-31T12:00:00 "))).cast("timestamp_ntz").alias("due"), encrypted_identity(token)["key_id"].alias("key_id"),
+    )
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN 'seed' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 10000000, NULL, 'seed' FROM customer WHERE c_custkey % 4 = 0")
+def upsert_seed(t):
+    from tessella.operators.state import upsert
+
+    c = t("customer").select("c_custkey", "c_name", "c_mktsegment")
+    seed = c.where("c_custkey % 4 = 0").select("c_custkey", F.lit("seed").alias("c_mktsegment"))
+    return upsert(c, seed.unionAll(seed.withColumn("c_custkey", F.col("c_custkey") + 10_000_000)), "c_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders))")
+def delete_account_cascade(t):
+    from tessella.operators.state import delete_account
+
+    o = t("orders").select(F.col("o_orderkey").alias("assignment_id"), F.col("o_custkey").cast("string").alias("professor_id"))
+    users = o.select(F.col("professor_id").alias("user_id")).distinct().withColumn("role", F.lit("PROFESSOR"))
+    first = str(t("orders").agg(F.min("o_custkey")).first()[0])
+    left = delete_account(users, o, {"lines": t("lineitem").select(F.col("l_orderkey").alias("assignment_id"), "l_linenumber")}, first)[2]
+    return left["lines"].withColumnRenamed("assignment_id", "l_orderkey")
