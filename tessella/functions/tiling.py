@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from tessella.config import Params
@@ -17,21 +17,32 @@ from tessella.config import Params
 Tile = tuple[int, int, int]
 
 
-def maximal_runs(left: Sequence, right: Sequence, left_mask: Sequence[bool], right_mask: Sequence[bool], least: int) -> list[Tile]:
-    """(left, right, length) of the maximal equal stretches of unmasked tokens, of the least length or more."""
-    def grams(tokens: Sequence, mask: Sequence[bool]):
-        free = 0
-        for i, masked in enumerate(mask):
-            free = 0 if masked else free + 1
-            if free >= least:
-                yield i - least + 1, tuple(tokens[i - least + 1 : i + 1])
+Places = dict[tuple, list[int]]
 
-    places: dict[tuple, list[int]] = {}
-    for j, g in grams(right, right_mask):
+
+def grams(tokens: Sequence, mask: Sequence[bool], least: int) -> Iterator[tuple[int, tuple]]:
+    """(place, gram) of each unmasked stretch of the least length."""
+    free = 0
+    for i, masked in enumerate(mask):
+        free = 0 if masked else free + 1
+        if free >= least:
+            yield i - least + 1, tuple(tokens[i - least + 1 : i + 1])
+
+
+def gram_places(tokens: Sequence, mask: Sequence[bool], least: int) -> Places:
+    places: Places = {}
+    for j, g in grams(tokens, mask, least):
         places.setdefault(g, []).append(j)
+    return places
+
+
+def maximal_runs(left: Sequence, right: Sequence, left_mask: Sequence[bool], right_mask: Sequence[bool], least: int, places: Places | None = None) -> list[Tile]:
+    """(left, right, length) of the maximal equal stretches of unmasked tokens, of the least length or more. places: the grams of the right, if they are known already."""
+    if places is None:
+        places = gram_places(right, right_mask, least)
     reach: dict[int, int] = {}
     runs: dict[tuple[int, int], int] = {}
-    for i, g in grams(left, left_mask):
+    for i, g in grams(left, left_mask, least):
         for j in places.get(g, ()):
             d = i - j
             begin = reach.get(d)
@@ -43,9 +54,9 @@ def maximal_runs(left: Sequence, right: Sequence, left_mask: Sequence[bool], rig
     return [(i, i - d, n) for (d, i), n in runs.items()]
 
 
-def greedy_tiles(left: Sequence, right: Sequence, left_mask: Sequence[bool], right_mask: Sequence[bool], least: int) -> list[Tile]:
+def greedy_tiles(left: Sequence, right: Sequence, left_mask: Sequence[bool], right_mask: Sequence[bool], least: int, places: Places | None = None) -> list[Tile]:
     """Tiles in the order of their acceptance."""
-    heap = [(-n, i, j) for i, j, n in maximal_runs(left, right, left_mask, right_mask, least)]
+    heap = [(-n, i, j) for i, j, n in maximal_runs(left, right, left_mask, right_mask, least, places)]
     heapq.heapify(heap)
     used_left, used_right = bytearray(len(left)), bytearray(len(right))
     tiles = []
@@ -192,9 +203,9 @@ def score(found: list[Region], left: int, right: int, least: int) -> float:
     return clamp(anchor * contiguity * fragmentation * math.sqrt(exact / effective))
 
 
-def template_mask(side: Side, template: Side, least: int = Params.template_min_match) -> list[bool]:
+def template_mask(side: Side, template: Side, least: int = Params.template_min_match, places: Places | None = None) -> list[bool]:
     """The tokens that tiles with the template cover, after its gaps have split them."""
-    tiles = greedy_tiles(side.tokens, template.tokens, side.mask, template.mask, least)
+    tiles = greedy_tiles(side.tokens, template.tokens, side.mask, template.mask, least, places)
     mask = [False] * len(side.tokens)
     for i, _, n in split_on_gaps(tiles, side.units, template.units):
         if n >= least:

@@ -7,7 +7,7 @@ Only the greedy choice within a pair runs in Python, a row per pair over Arrow b
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +25,9 @@ SPAN = "struct<byte_start: int, byte_end: int, file_path: string, line_start: in
 MATCHES = f"array<struct<match_id: string, kind: string, left: {SPAN}, right: {SPAN}, matched_token_count: int>>"
 RESULT = f"pair_id string, left_id string, right_id string, similarity_score double, matched_token_count int, matches {MATCHES}"
 
+#: Templates that a task keeps indexed.
+TEMPLATES = 8
+
 
 def tokenise(submissions: DataFrame) -> DataFrame:
     """submissions with their tokens; the source is kept for line numbers."""
@@ -54,17 +57,30 @@ def masked(tokenised: DataFrame, templates: DataFrame | None, params: Params = P
     floor = max(params.minimum_comment_length, params.comment_floor)
     names = tokenised.columns
 
+    def prepared(template: dict) -> tuple[tiling.Side, tiling.Places, Counter]:
+        side = tiling.Side(template["tokens"], template["units"], [False] * len(template["tokens"]))
+        long = Counter(n for c in template["comments"] if len((n := lexer.normalize_comment(c["text"])).encode()) >= floor)
+        return side, tiling.gram_places(side.tokens, side.mask, params.template_min_match), long
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: OrderedDict[str, tuple] = OrderedDict()  # templates are indexed once a task, not once a row
         for batch in batches:
             masks, comments = [], []
-            for tokens, units, own, template in zip(*(batch.column(c).to_pylist() for c in ("tokens", "units", "comments", "template"))):
+            template = batch.column("template")
+            for k, (assignment, tokens, units, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("assignment_id", "tokens", "units", "comments")))):
                 no = [False] * len(tokens)
-                if template is None:
+                if not template[k].is_valid:
                     masks.append(no)
                     comments.append(own)
                     continue
-                masks.append(tiling.template_mask(tiling.Side(tokens, units, no), tiling.Side(template["tokens"], template["units"], [False] * len(template["tokens"])), params.template_min_match))
-                left = Counter(n for c in template["comments"] if len((n := lexer.normalize_comment(c["text"])).encode()) >= floor)
+                if assignment not in known:
+                    known[assignment] = prepared(template[k].as_py())
+                    if len(known) > TEMPLATES:
+                        known.popitem(last=False)
+                known.move_to_end(assignment)
+                side, places, long = known[assignment]
+                masks.append(tiling.template_mask(tiling.Side(tokens, units, no), side, params.template_min_match, places))
+                left = long.copy()
                 kept = []
                 for c in own:
                     n = lexer.normalize_comment(c["text"])
