@@ -12,63 +12,82 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import xxhash
+
 from tessella.config import Params
 
 Tile = tuple[int, int, int]
-
-
-Places = dict[tuple, list[int]]
-
-
-def grams(tokens: Sequence, mask: Sequence[bool], least: int) -> Iterator[tuple[int, tuple]]:
-    """(place, gram) of each unmasked stretch of the least length."""
-    free = 0
-    for i, masked in enumerate(mask):
-        free = 0 if masked else free + 1
-        if free >= least:
-            yield i - least + 1, tuple(tokens[i - least + 1 : i + 1])
-
-
-def gram_places(tokens: Sequence, mask: Sequence[bool], least: int) -> Places:
-    places: Places = {}
-    for j, g in grams(tokens, mask, least):
-        places.setdefault(g, []).append(j)
-    return places
-
-
-def maximal_runs(left: Sequence, right: Sequence, left_mask: Sequence[bool], right_mask: Sequence[bool], least: int, places: Places | None = None) -> list[Tile]:
-    """(left, right, length) of the maximal equal stretches of unmasked tokens, of the least length or more. places: the grams of the right, if they are known already."""
-    if places is None:
-        places = gram_places(right, right_mask, least)
+#: An odd number of many bits; the hash of a stretch is a polynomial in it.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(tokens: Sequence[str], mask: Sequence[bool], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the unmasked stretches of the least length, and their hashes. Equal stretches have equal hashes in any process; the reverse is for the reader to verify."""
+    n = len(tokens) - least + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    known = {t: xxhash.xxh64_intdigest(t) for t in set(tokens)}
+    each, out = np.fromiter((known[t] for t in tokens), np.uint64, len(tokens)), np.zeros(n, np.uint64)
+    for k in range(least):
+        out = out * MIX + each[k : k + n]
+    hidden = np.concatenate([[0], np.cumsum(np.asarray(mask, bool))])
+    at = np.flatnonzero(hidden[least:] == hidden[:-least])
+    return at, out[at]
+
+
+class Grams:
+    """The unmasked stretches of the least length of one side, ordered by hash; made once and held against many other sides."""
+
+    def __init__(self, tokens: Sequence[str], mask: Sequence[bool], least: int):
+        self.tokens, self.least = tokens, least
+        at, hashes = gram_hashes(tokens, mask, least)
+        order = np.argsort(hashes, kind="stable")
+        self.at, self.hashes = at[order], hashes[order]
+        self.distinct = np.unique(self.hashes)
+
+    def places(self, hashes: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        low, high = (np.searchsorted(self.hashes, hashes, side=s) for s in ("left", "right"))
+        for h, a, b in zip(hashes.tolist(), low.tolist(), high.tolist()):
+            yield h, self.at[a:b].tolist()
+
+
+def maximal_runs(left: Grams, right: Grams) -> list[Tile]:
+    """(left, right, length) of the maximal equal stretches of unmasked tokens, of the least length or more."""
+    common = np.intersect1d(left.distinct, right.distinct, assume_unique=True)
+    if not common.size:
+        return []
+    places, least = dict(right.places(common)), left.least
     reach: dict[int, int] = {}
     runs: dict[tuple[int, int], int] = {}
-    for i, g in grams(left, left_mask, least):
-        for j in places.get(g, ()):
-            d = i - j
+    for i, h in sorted((i, h) for h, found in left.places(common) for i in found):
+        for j in places[h]:
+            d, last = i - j, i + least - 1
             begin = reach.get(d)
-            if begin is not None and runs[d, begin] + begin == i + least - 1:
-                runs[d, begin] += 1
-            else:
+            if begin is not None and runs[d, begin] + begin == last:
+                if left.tokens[last] == right.tokens[last - d]:
+                    runs[d, begin] += 1
+            elif left.tokens[i : last + 1] == right.tokens[j : j + least]:
                 reach[d] = i
                 runs[d, i] = least
     return [(i, i - d, n) for (d, i), n in runs.items()]
 
 
-def greedy_tiles(left: Sequence, right: Sequence, left_mask: Sequence[bool], right_mask: Sequence[bool], least: int, places: Places | None = None) -> list[Tile]:
+def greedy_tiles(left: Grams, right: Grams) -> list[Tile]:
     """Tiles in the order of their acceptance."""
-    heap = [(-n, i, j) for i, j, n in maximal_runs(left, right, left_mask, right_mask, least, places)]
+    least = left.least
+    heap = [(-n, i, j) for i, j, n in maximal_runs(left, right)]
     heapq.heapify(heap)
-    used_left, used_right = bytearray(len(left)), bytearray(len(right))
+    used_left, used_right = bytearray(len(left.tokens)), bytearray(len(right.tokens))
     tiles = []
     while heap:
         n, i, j = heapq.heappop(heap)
         n = -n
-        taken = [used_left[i + k] or used_right[j + k] for k in range(n)]
-        if not any(taken):
+        if used_left.find(1, i, i + n) < 0 and used_right.find(1, j, j + n) < 0:
             used_left[i : i + n] = used_right[j : j + n] = b"\x01" * n
             tiles.append((i, j, n))
             continue
-        begin = None
+        taken, begin = [x or y for x, y in zip(used_left[i : i + n], used_right[j : j + n])], None
         for k, t in enumerate([*taken, 1]):
             if t and begin is not None:
                 if k - begin >= least:
@@ -203,11 +222,10 @@ def score(found: list[Region], left: int, right: int, least: int) -> float:
     return clamp(anchor * contiguity * fragmentation * math.sqrt(exact / effective))
 
 
-def template_mask(side: Side, template: Side, least: int = Params.template_min_match, places: Places | None = None) -> list[bool]:
-    """The tokens that tiles with the template cover, after its gaps have split them."""
-    tiles = greedy_tiles(side.tokens, template.tokens, side.mask, template.mask, least, places)
+def template_mask(side: Side, template: Side, grams: Grams, least: int = Params.template_min_match) -> list[bool]:
+    """The tokens that tiles with the template cover, after its gaps have split them. grams: those of the template."""
     mask = [False] * len(side.tokens)
-    for i, _, n in split_on_gaps(tiles, side.units, template.units):
+    for i, _, n in split_on_gaps(greedy_tiles(Grams(side.tokens, side.mask, least), grams), side.units, template.units):
         if n >= least:
             mask[i : i + n] = [True] * n
     return mask

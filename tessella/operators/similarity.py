@@ -7,13 +7,18 @@ Only the greedy choice within a pair runs in Python, a row per pair over Arrow b
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.config import Params
 from tessella.functions import lexer, tiling
@@ -25,8 +30,8 @@ SPAN = "struct<byte_start: int, byte_end: int, file_path: string, line_start: in
 MATCHES = f"array<struct<match_id: string, kind: string, left: {SPAN}, right: {SPAN}, matched_token_count: int>>"
 RESULT = f"pair_id string, left_id string, right_id string, similarity_score double, matched_token_count int, matches {MATCHES}"
 
-#: Templates that a task keeps indexed.
-TEMPLATES = 8
+#: Submissions of a chunk about; chunks of submissions without an assignment; tokens of sides that a task keeps.
+CHUNK, ALONE, HELD = 256, 1024, 1_000_000
 
 
 def tokenise(submissions: DataFrame) -> DataFrame:
@@ -45,56 +50,65 @@ def tokenise(submissions: DataFrame) -> DataFrame:
     return submissions.mapInArrow(run, schema)
 
 
-def masked(tokenised: DataFrame, templates: DataFrame | None, params: Params = Params()) -> DataFrame:
-    """mask: the tokens that the assignment's template has too; comments without those of the template, as often as it has them.
+def chunked(submissions: DataFrame, templates: DataFrame) -> DataFrame:
+    """submissions in chunks of an assignment, about CHUNK each, its template in front of every chunk (is_template).
 
-    templates: tokenised, one row an assignment; sized by the number of assignments, so Spark decides how to join them."""
-    if templates is None:
-        return tokenised.withColumn("mask", F.transform("tokens", lambda _: F.lit(False)))
-    side = templates.select("assignment_id", F.struct("tokens", "units", "comments").alias("template"))
-    joined = tokenised.join(side, "assignment_id", "left").select(*tokenised.columns, "template")
-    schema = T.StructType([*tokenised.schema.fields, T.StructField("mask", T.ArrayType(T.BooleanType()))])
-    floor = max(params.minimum_comment_length, params.comment_floor)
-    names = tokenised.columns
+    A template travels once a chunk, not once a submission, and a large assignment is dealt to many tasks."""
+    n = int(submissions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = submissions.groupBy("assignment_id").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("submission_id"), F.coalesce("chunks", F.lit(ALONE))).cast("int")
+    rows = submissions.join(counts, "assignment_id", "left").select(*submissions.columns, F.lit(False).alias("is_template"), chunk.alias("chunk"))
+    first = templates.join(counts, "assignment_id").select(*templates.columns, F.lit(True).alias("is_template"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    return rows.unionByName(first, allowMissingColumns=True).repartition(n, "assignment_id", "chunk").sortWithinPartitions("assignment_id", "chunk", F.desc("is_template"))
 
-    def prepared(template: dict) -> tuple[tiling.Side, tiling.Places, Counter]:
-        side = tiling.Side(template["tokens"], template["units"], [False] * len(template["tokens"]))
-        long = Counter(n for c in template["comments"] if len((n := lexer.normalize_comment(c["text"])).encode()) >= floor)
-        return side, tiling.gram_places(side.tokens, side.mask, params.template_min_match), long
+
+def long_comments(comments: list[dict], floor: int) -> list[tuple[int, str]]:
+    """(place, normal text) of the comments that count."""
+    return [(k, n) for k, c in enumerate(comments) if len((n := lexer.normalize_comment(c["text"])).encode()) >= floor]
+
+
+def prepared(submissions: DataFrame, templates: DataFrame | None, params: Params = Params()) -> DataFrame:
+    """submissions tokenised and masked, once each. mask: the tokens that the assignment's template has too; comments are without those of the
+    template, as often as it has them; keys: hashes of the unmasked grams and long comments.
+
+    templates: (assignment_id, language, source, source_map), one row an assignment."""
+    tokens = tokenise(submissions if templates is None else chunked(submissions, templates))
+    kept = [f for f in tokens.schema.fields if f.name not in ("is_template", "chunk")]
+    schema = T.StructType([*kept, *T.StructType.fromDDL("mask array<boolean>, keys array<long>").fields])
+    mixed = templates is not None
+    names, floor, least = [f.name for f in kept], max(params.minimum_comment_length, params.comment_floor), params.template_min_match
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[str, tuple] = OrderedDict()  # templates are indexed once a task, not once a row
+        of, side, grams, long = None, None, None, Counter()  # the template in front of the rows, and its assignment
         for batch in batches:
-            masks, comments = [], []
-            template = batch.column("template")
-            for k, (assignment, tokens, units, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("assignment_id", "tokens", "units", "comments")))):
-                no = [False] * len(tokens)
-                if not template[k].is_valid:
-                    masks.append(no)
-                    comments.append(own)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("assignment_id", "tokens", "units", "comments")))
+            first = batch.column("is_template").to_pylist() if mixed else [False] * batch.num_rows
+            masks, comments, keys = [], [], []
+            for (assignment, own, units, said), is_template in zip(rows, first):
+                mask = [False] * len(own)
+                if is_template:
+                    if of != assignment or side is None:
+                        of, side, grams, long = assignment, tiling.Side(own, units, mask), tiling.Grams(own, mask, least), Counter(n for _, n in long_comments(said, floor))
                     continue
-                if assignment not in known:
-                    known[assignment] = prepared(template[k].as_py())
-                    if len(known) > TEMPLATES:
-                        known.popitem(last=False)
-                known.move_to_end(assignment)
-                side, places, long = known[assignment]
-                masks.append(tiling.template_mask(tiling.Side(tokens, units, no), side, params.template_min_match, places))
-                left = long.copy()
-                kept = []
-                for c in own:
-                    n = lexer.normalize_comment(c["text"])
-                    if left[n] > 0:
-                        left[n] -= 1
-                    else:
-                        kept.append(c)
-                comments.append(kept)
-            at = batch.schema.get_field_index("comments")
-            columns = [batch.column(c) for c in names]
-            columns[names.index("comments")] = pa.array(comments, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(masks, pa.list_(pa.bool_()))], names=[*names, "mask"])
-
-    return joined.mapInArrow(run, schema)
+                if side is not None and of == assignment:
+                    mask = tiling.template_mask(tiling.Side(own, units, mask), side, grams, least)
+                    left, hidden = long.copy(), set()
+                    for k, n in long_comments(said, floor):
+                        if left[n] > 0:
+                            left[n] -= 1
+                            hidden.add(k)
+                    said = [c for k, c in enumerate(said) if k not in hidden]
+                _, hashes = tiling.gram_hashes(own, mask, params.gst_min_match_length)
+                texts = np.array([xxhash.xxh64_intdigest(n, 1) for _, n in long_comments(said, floor)], np.uint64)
+                masks.append(mask)
+                comments.append(said)
+                keys.append(np.unique(np.concatenate([hashes, texts])).view(np.int64))
+            rest = batch.filter(pa.array([not x for x in first]))
+            columns = [rest.column(c) for c in names]
+            columns[names.index("comments")] = pa.array(comments, batch.column("comments").type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(masks, pa.list_(pa.bool_())), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+
+    return tokens.mapInArrow(run, schema)
 
 
 #: Current with later current ones, and current with historical ones, which stand on the right.
@@ -108,85 +122,103 @@ def allowed_pairs(submissions: DataFrame) -> DataFrame:
     return l.join(r, (F.col("assignment_id") == F.col("r_assignment_id")) & F.expr(ALLOWED)).select(F.concat_ws("__", "submission_id", "r_submission_id").alias("pair_id"), F.col("submission_id").alias("left_id"), F.col("r_submission_id").alias("right_id"))
 
 
-def grams(tokens: DataFrame, least: int) -> DataFrame:
-    """Distinct (assignment, gram, submission) over unmasked stretches. Grams are hashed: a false pair costs time, not a result."""
-    n = F.size("tokens") - (least - 1)
-    free = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when((n >= 1) & ~F.exists(F.slice("mask", i, least), lambda m: m), F.xxhash64(F.slice("tokens", i, least))))
-    return tokens.select("assignment_id", "submission_id", "kind", "ord", F.explode(F.array_distinct(F.array_compact(free))).alias("key"))
+def candidates(tokens: DataFrame) -> DataFrame:
+    """Allowed pairs that share an unmasked gram or a long comment. Keys are hashes: a false pair costs time, not a result.
 
-
-def candidates(tokens: DataFrame, params: Params = Params()) -> DataFrame:
-    """Allowed pairs that share an unmasked gram or a long comment."""
-    floor = max(params.minimum_comment_length, params.comment_floor)
-    normal = F.udf(lexer.normalize_comment, "string")
-    text = tokens.where(F.size("comments") > 0).select("assignment_id", "submission_id", "kind", "ord", F.explode("comments.text").alias("text")).withColumn("text", normal("text"))
-    keys = grams(tokens, params.gst_min_match_length).unionByName(text.where(F.octet_length("text") >= floor).select("assignment_id", "submission_id", "kind", "ord", F.xxhash64(F.lit("comment"), "text").alias("key")).distinct())
+    Keys that one submission alone has go before the join, and of keys that the same submissions have one stands for all, so copies that share thousands of
+    grams meet once."""
+    keys = tokens.select("assignment_id", "submission_id", "kind", "ord", F.explode("keys").alias("key"))
+    # sums of halves of two hashes: a set of submissions without its order, free of overflow
+    halves = [f(F.xxhash64("submission_id", F.lit(seed))) for seed in (1, 2) for f in (lambda h: F.shiftright(h, 32), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    held = keys.groupBy("assignment_id", "key").agg(F.count("*").alias("n"), *(F.sum(h).alias(f"h{k}") for k, h in enumerate(halves))).where("n > 1")
+    standing = held.groupBy("assignment_id", "n", *(f"h{k}" for k in range(4))).agg(F.min("key").alias("key")).select("assignment_id", "key")
+    keys = keys.join(standing, ["assignment_id", "key"], "left_semi")
     r = keys.select(*(F.col(c).alias(f"r_{c}") for c in keys.columns))
     joined = keys.join(r, (F.col("assignment_id") == F.col("r_assignment_id")) & (F.col("key") == F.col("r_key")) & F.expr(ALLOWED))
     return joined.select(F.concat_ws("__", "submission_id", "r_submission_id").alias("pair_id"), F.col("submission_id").alias("left_id"), F.col("r_submission_id").alias("right_id")).distinct()
 
 
-class _Place:
-    """Where bytes of a source stand."""
+class _Prepared:
+    """One side of comparisons; what they need of it is worked out once."""
 
-    def __init__(self, side: dict):
-        data = (side["source"] or "").encode()
-        self.lines = [0, *(i + 1 for i, b in enumerate(data) if b == 10)]
-        self.files = side["source_map"] or []
+    def __init__(self, row: dict, params: Params):
+        self.starts, self.ends, self.comments, self.files = row["starts"], row["ends"], row["comments"], row["source_map"] or []
+        self.side = tiling.Side(row["tokens"], row["units"], row["mask"])
+        self.active = self.side.active
+        self.grams = tiling.Grams(row["tokens"], row["mask"], params.gst_min_match_length)
+        data = np.frombuffer((row["source"] or "").encode(), np.uint8)
+        self.lines = [0, *(np.flatnonzero(data == 10) + 1).tolist()]
+        self.said: dict[str, list[int]] = {}
+        for k, n in long_comments(self.comments, max(params.minimum_comment_length, params.comment_floor)):
+            self.said.setdefault(n, []).append(k)
 
     def span(self, start: int, end: int, tokens: tuple[int, int]) -> dict:
-        from bisect import bisect_right
-
         last = max(end - 1, start)
         a, b = bisect_right(self.lines, start), bisect_right(self.lines, last)
         file = next((f["file_path"] for f in self.files if f["byte_start"] <= start and end <= f["byte_end"]), None)
         return {"byte_start": start, "byte_end": end, "file_path": file, "line_start": a, "column_start": start - self.lines[a - 1] + 1, "line_end": b, "column_end": last - self.lines[b - 1] + 1, "token_start": tokens[0], "token_end": tokens[1]}
 
+    def code(self, a: int, b: int) -> dict:
+        return self.span(self.starts[a], self.ends[b], (a, b))
+
+    def comment(self, k: int) -> dict:
+        return self.span(self.comments[k]["byte_start"], self.comments[k]["byte_end"], (k, k))
+
 
-def compare(left: dict, right: dict, params: Params = Params()) -> tuple[float, int, list[dict]]:
-    """Score, matched tokens and matches of two tokenised and masked submissions."""
-    sides = [tiling.Side(s["tokens"], s["units"], s["mask"]) for s in (left, right)]
-    tiles = tiling.greedy_tiles(sides[0].tokens, sides[1].tokens, sides[0].mask, sides[1].mask, params.gst_min_match_length)
-    found = tiling.regions(tiles, *sides, params)
-    value = tiling.score(found, sides[0].active, sides[1].active, params.gst_min_match_length)
-    places = _Place(left), _Place(right)
-    code = lambda s, p, a, b: p.span(s["starts"][a], s["ends"][b], (a, b))
-    matches = [{"match_id": f"code-{k}", "kind": "code", "left": code(left, places[0], r.left_start, r.left_end), "right": code(right, places[1], r.right_start, r.right_end), "matched_token_count": r.exact} for k, r in enumerate(found)]
-    floor = max(params.minimum_comment_length, params.comment_floor)
-    said: list[dict[str, list[int]]] = []
-    for side in (left, right):
-        by: dict[str, list[int]] = {}
-        for k, c in enumerate(side["comments"]):
-            if len((n := lexer.normalize_comment(c["text"])).encode()) >= floor:
-                by.setdefault(n, []).append(k)
-        said.append(by)
-    for text in sorted(said[0].keys() & said[1].keys(), key=str.encode):
-        for a, b in zip(said[0][text], said[1][text]):
-            spans = [p.span(s["comments"][k]["byte_start"], s["comments"][k]["byte_end"], (k, k)) for s, p, k in ((left, places[0], a), (right, places[1], b))]
-            matches.append({"match_id": f"comment-{len(matches)}", "kind": "comment", "left": spans[0], "right": spans[1], "matched_token_count": 0})
+class _Sides:
+    """The sides that a task has seen last, up to a number of tokens."""
+
+    def __init__(self, make: Callable[[dict], Any], most: int):
+        self.make, self.most, self.held = make, most, 0
+        self.known: OrderedDict[tuple, tuple[Any, int]] = OrderedDict()
+
+    def get(self, name: str, sides: pa.StructArray, k: int) -> Any:
+        key = name, sides.field("source")[k].as_py()  # rows that repeat an id are told apart by their text
+        if key in self.known:
+            self.known.move_to_end(key)
+            return self.known[key][0]
+        row = sides[k].as_py()
+        found, weight = self.make(row), len(row["tokens"]) + 1
+        self.known[key], self.held = (found, weight), self.held + weight
+        while self.held > self.most and len(self.known) > 1:
+            self.held -= self.known.popitem(last=False)[1][1]
+        return found
+
+
+def compare(left: _Prepared, right: _Prepared, params: Params = Params()) -> tuple[float, int, list[dict]]:
+    """Score, matched tokens and matches of two submissions."""
+    found = tiling.regions(tiling.greedy_tiles(left.grams, right.grams), left.side, right.side, params)
+    value = tiling.score(found, left.active, right.active, params.gst_min_match_length)
+    matches = [{"match_id": f"code-{k}", "kind": "code", "left": left.code(r.left_start, r.left_end), "right": right.code(r.right_start, r.right_end), "matched_token_count": r.exact} for k, r in enumerate(found)]
+    for text in sorted(left.said.keys() & right.said.keys(), key=str.encode):
+        for a, b in zip(left.said[text], right.said[text]):
+            matches.append({"match_id": f"comment-{len(matches)}", "kind": "comment", "left": left.comment(a), "right": right.comment(b), "matched_token_count": 0})
     return value, sum(r.exact for r in found), matches
 
 
+def sided(pairs: DataFrame, tokens: DataFrame, *columns: str) -> DataFrame:
+    """pairs with both sides as structs. Dealt by right_id, which no assignment has in more pairs than it has submissions, to the session's number of
+    partitions: comparing is work for the processor, so partitions of few bytes are not put together."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l = tokens.select(F.col("submission_id").alias("left_id"), F.struct(*columns).alias("left"))
+    r = tokens.select(F.col("submission_id").alias("right_id"), F.struct(*columns).alias("right"))
+    return pairs.join(l, "left_id").repartition(n, "right_id").join(r, "right_id").select("pair_id", "left_id", "right_id", "left", "right")
+
+
 def compared(pairs: DataFrame, tokens: DataFrame, params: Params = Params()) -> DataFrame:
     """RESULT of each pair; both sides are joined to it once."""
-    side = F.struct("tokens", "units", "starts", "ends", "comments", "mask", "source", "source_map")
-    l = tokens.select(F.col("submission_id").alias("left_id"), side.alias("left"))
-    r = tokens.select(F.col("submission_id").alias("right_id"), side.alias("right"))
     schema = T.StructType.fromDDL(RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(schema)
+        arrow, sides = to_arrow_schema(schema), _Sides(lambda row: _Prepared(row, params), HELD)
         for batch in batches:
             rows = []
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                value, exact, matches = compare(row["left"], row["right"], params)
-                rows.append({"pair_id": row["pair_id"], "left_id": row["left_id"], "right_id": row["right_id"], "similarity_score": value, "matched_token_count": exact, "matches": matches})
+            for k, (pair, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pair_id", "left_id", "right_id")))):
+                value, exact, matches = compare(sides.get(left, batch.column("left"), k), sides.get(right, batch.column("right"), k), params)
+                rows.append({"pair_id": pair, "left_id": left, "right_id": right, "similarity_score": value, "matched_token_count": exact, "matches": matches})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return pairs.join(l, "left_id").join(r, "right_id").select("pair_id", "left_id", "right_id", "left", "right").mapInArrow(run, schema)
+    return sided(pairs, tokens, "tokens", "units", "starts", "ends", "comments", "mask", "source", "source_map").mapInArrow(run, schema)
 
 
 def problems(submissions: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -206,8 +238,8 @@ def problems(submissions: DataFrame, pairs: DataFrame | None = None) -> DataFram
 
 def analyze(submissions: DataFrame, templates: DataFrame | None = None, params: Params = Params(), zero_pairs: bool = True) -> DataFrame:
     """Results of all allowed pairs. templates: (assignment_id, language, source, source_map)."""
-    tokens = masked(tokenise(submissions), tokenise(templates) if templates is not None else None, params).persist()
-    found = compared(candidates(tokens, params), tokens, params)
+    tokens = prepared(submissions, templates, params).persist()
+    found = compared(candidates(tokens), tokens, params)
     if not zero_pairs:
         return found
     rest = allowed_pairs(submissions)
@@ -217,16 +249,15 @@ def analyze(submissions: DataFrame, templates: DataFrame | None = None, params:
 
 def tiles(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
     """The tiles of each pair in the order of their acceptance."""
-    l = tokens.select(F.col("submission_id").alias("left_id"), F.col("tokens").alias("lt"), F.col("mask").alias("lm"))
-    r = tokens.select(F.col("submission_id").alias("right_id"), F.col("tokens").alias("rt"), F.col("mask").alias("rm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = _Sides(lambda row: tiling.Grams(row["tokens"], row["mask"], least), HELD)
         for batch in batches:
             rows = []
-            for k in range(batch.num_rows):
-                pair, *side = (batch.column(c)[k].as_py() for c in range(5))
-                rows += [(pair, seq, *t) for seq, t in enumerate(tiling.greedy_tiles(side[0], side[1], side[2], side[3], least))]
+            for k, (pair, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pair_id", "left_id", "right_id")))):
+                found = tiling.greedy_tiles(sides.get(left, batch.column("left"), k), sides.get(right, batch.column("right"), k))
+                rows += [(pair, seq, *t) for seq, t in enumerate(found)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] + [pa.int32()] * 4)], names=["pair_id", "seq", "left_start", "right_start", "length"])
 
-    return pairs.join(l, "left_id").join(r, "right_id").select("pair_id", "lt", "rt", "lm", "rm").mapInArrow(run, "pair_id string, seq int, left_start int, right_start int, length int")
+    return sided(pairs, tokens, "tokens", "mask", "source").mapInArrow(run, "pair_id string, seq int, left_start int, right_start int, length int")

@@ -26,7 +26,7 @@ def prose_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str, template: bool = True) -> DataFrame:
-    return similarity.masked(similarity.tokenise(prose_submissions(spark, sf_dir)), similarity.tokenise(prose_templates(spark, sf_dir)) if template else None).persist()
+    return similarity.prepared(prose_submissions(spark, sf_dir), prose_templates(spark, sf_dir) if template else None).persist()
 
 
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ side = st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 9).map(lambda x:
 @given(side, side, st.integers(1, 4))
 def test_greedy_equals_rounds(left, right, least):
     (l, lm), (r, rm) = (([t for t, _ in x], [m for _, m in x]) for x in (left, right))
-    assert tiling.greedy_tiles(l, r, lm, rm, least) == rounds(l, r, lm, rm, least)
+    assert tiling.greedy_tiles(tiling.Grams(l, lm, least), tiling.Grams(r, rm, least)) == rounds(l, r, lm, rm, least)
 
 
 def plain(n):
