@@ -54,3 +54,22 @@ def test_problems(spark):
     df = spark.createDataFrame([("1", "a", "current", 0, "c", "int a;", [("x", 0, 99)]), ("1", "a", "current", 0, "c", "", []), (" ", "a", "current", 0, "c", "", [])], similarity.SUBMISSIONS)
     pairs = spark.createDataFrame([Row(pair_id="p", left_id="1", right_id="9"), Row(pair_id="q", left_id="1", right_id="1")])
     assert sorted(r.problem.split(":")[0] for r in similarity.problems(df, pairs).collect()) == ["duplicate submission_id", "invalid source_map", "pair of one submission", "pair with unknown submission", "submission_id must not be blank"]
+
+
+def test_chunks_and_candidates_against_plain_pairs(spark, monkeypatch):
+    """Small chunks, several assignments, one of them none, null and empty texts: candidates are the allowed pairs that share a key."""
+    monkeypatch.setattr(similarity, "CHUNK", 2)
+    bodies = [add("A", "f", "a", "b"), add("B", "g", "x", "y"), LONG + "class C {}", LONG + "class D { long q; }", "", None, "class E { String s = null; }"]
+    rows = [(f"{a}{k}", a, "historical" if k == 1 else "current", k, "java", body, None) for a in ("p", "q", None) for k, body in enumerate(bodies)]
+    templates = spark.createDataFrame([("p", "java", bodies[6], None), ("z", "java", bodies[0], None)], f"assignment_id string, language string, source string, source_map {similarity.SOURCE_MAP}")
+    tokens = similarity.prepared(spark.createDataFrame(rows, similarity.SUBMISSIONS), templates, Params(gst_min_match_length=3, minimum_comment_length=5, template_min_match=3)).persist()
+    got = tokens.collect()
+    assert sorted(r.submission_id for r in got) == sorted(r[0] for r in rows)
+    assert {r.submission_id: all(r.mask) for r in got if r.submission_id.endswith("6")} == {"p6": True, "q6": False, "None6": False}
+    want = {(l.submission_id, r.submission_id) for l in got for r in got if l.assignment_id and l.assignment_id == r.assignment_id and l.kind == "current" and (r.kind == "historical" or l.ord < r.ord) and l.submission_id != r.submission_id and set(l["keys"]) & set(r["keys"])}
+    assert want and {(r.left_id, r.right_id) for r in similarity.candidates(tokens).collect()} == want
+    tokens.unpersist()
+
+
+def test_no_submissions(spark):
+    assert run(spark, [], "java", template="class A {}") == run(spark, [], "java") == {}
