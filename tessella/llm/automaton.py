@@ -249,32 +249,44 @@ class Scanner:
         self.all = compile_rules(nodes, anchored=False)
         self.ahead = [compile_rules([n], anchored=True) for n in nodes]
         self.back = [compile_rules([backwards(n)], anchored=True) for n in nodes]
+        self.alone = [compile_rules([n], anchored=False) for n in nodes]
 
     @staticmethod
-    def _longest(dfa: Dfa, data: bytes) -> int:
+    def _longest(dfa: Dfa, data: bytes) -> tuple[int, bool]:
+        """The length of the longest match from the start, -1 without one, and whether more data might give a longer one."""
         state, best, accepting, table, dead = dfa.start, -1, dfa.accepting, dfa.table, dfa.dead
         for n, b in enumerate(data.translate(dfa.classes), 1):
             state = table[state + b]
             if state >= accepting:
                 best = n
             elif state == dead:
-                break
-        return best
+                return best, False
+        return best, True
 
     def _back(self, rule: int, data: bytes, low: int, end: int) -> int:
-        """How far the longest match that ends at end reaches back; matches are looked for in growing pieces."""
+        """How far the longest match that ends at end reaches back, not beyond low; the piece grows as long as the automaton is alive at its end."""
         size = 256
         while True:
             piece = data[max(low, end - size) : end]
-            found = self._longest(self.back[rule], piece[::-1])
-            if len(piece) < size or found < len(piece) // 2:
+            found, alive = self._longest(self.back[rule], piece[::-1])
+            if not alive or len(piece) < size:
                 return found
             size *= 4
 
+    def _next(self, rule: int, data: bytes, low: int) -> int:
+        """The last byte of the first match to end of those that start at low or behind; behind the data without one."""
+        dfa = self.alone[rule]
+        state, accepting, table = dfa.start, dfa.accepting, dfa.table
+        for at, b in enumerate(data[low:].translate(dfa.classes), low):
+            state = table[state + b]
+            if state >= accepting:
+                return at
+        return len(data)
+
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
         """(rule, start, end) in bytes, by end of the shortest match."""
         table, state, accepting, masks, width = self.all.table, self.all.start, self.all.accepting, self.all.masks, self.all.width
-        resume = [0] * len(self.ahead)
+        resume, wait = [0] * len(self.ahead), [0] * len(self.ahead)
         out = []
         for at, b in enumerate(data.translate(self.all.classes)):
             state = table[state + b]
@@ -284,11 +296,14 @@ class Scanner:
                     rule = (mask & -mask).bit_length() - 1
                     mask &= mask - 1
                     low = resume[rule]
-                    if at < low or (length := self._back(rule, data, low, at + 1)) < 0:
+                    if at < wait[rule]:
+                        continue
+                    if (length := self._back(rule, data, low, at + 1)) < 0:
+                        wait[rule] = self._next(rule, data, low)  # what ends here starts before low: looked at once, not at each further byte
                         continue
                     start = at + 1 - length
                     end = start + self._ahead(rule, data, start)
-                    resume[rule] = end
+                    resume[rule] = wait[rule] = end
                     out.append((rule, start, end))
         return out
 
@@ -297,7 +312,7 @@ class Scanner:
         size = 256
         while True:
             piece = data[start : start + size]
-            found = self._longest(self.ahead[rule], piece)
-            if len(piece) < size or found < len(piece) // 2:
+            found, alive = self._longest(self.ahead[rule], piece)
+            if not alive or len(piece) < size:
                 return found
             size *= 4

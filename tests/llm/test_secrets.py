@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
@@ -39,6 +40,25 @@ def test_scanner_equals_re(text):
     assert found == sorted((i, *m.span()) for i, p in enumerate(patterns) for m in re.finditer(p, text))
 
 
+@pytest.mark.parametrize("gap", [10, 249, 250, 300, 1_000, 2_000, 100_000])
+@pytest.mark.parametrize("before", ["", "word " * 100, "é " * 200])
+def test_gaps_of_any_length(gap, before):
+    for text in (f"{before}token{' ' * gap}=abcdefghijklmnop.", f"{before}token={' ' * gap}'abcdefghijklmnop'", f"{before}token{' ' * gap}:{' ' * gap}abcdefghijklmnop xox"):
+        base = [x for x in secrets.spans_of(text) if secrets.RULES[x[1]].base]
+        assert secrets.joined(base, secrets.RULES) == brute(text) != ""
+
+
+def test_gaps_inside_and_ahead():
+    for gap in (250, 1_000, 100_000):
+        text = "y" * 300 + "a" + "-" * gap + "b" + " " * gap + "c"
+        assert Scanner(["a-*b( *c)?"]).scan(text.encode()) == [(0, 300, len(text))]
+
+
+def test_ends_of_matches_that_overlap_the_last_one():
+    text = "token=password:" + "x" * 300_000 + " secret=abcdefghijklmnop"
+    assert secrets.joined([x for x in secrets.spans_of(text) if secrets.RULES[x[1]].base], secrets.RULES) == brute(text)
+
+
 def test_query_rows(spark):
     long = "word " * 50_000 + "token=abcdefghijklmnop é AKIA" + "A" * 5000
     texts = [None, "", "é secret: 'abcdefghijklmnop'", "é secret: 'abcdefghijklmnop'", long, "ghp_" + "a1" * 20]
