@@ -63,3 +63,19 @@ def test_leak_edges(spark):
     assert sorted((str(r.doc_id), r.item_id) for r in rows) == sorted([("None", 7), ("None", 8), *[("4", 7), ("4", 8)] * 2])
     assert decontaminate.find(docs.limit(0), bench).count() == decontaminate.find(docs, bench.limit(0)).count() == 0
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 2, 3]
+
+
+def test_altered_copies_of_items(spark):
+    random.seed(9)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    index = decontaminate.Index(items)
+    texts, want = [], set()
+    for k, (_, text) in enumerate(items):
+        w = text.split()
+        for copy in [w[:-n] for n in range(1, 7)] + [w[n:] for n in range(1, 7)] + [[*w[:n], "replaced", *w[n + 1 :]] for n in random.sample(range(len(w)), min(5, len(w)))] + [[*w[:-1], "replaced"]]:
+            have, whole = decontaminate.shingles(decontaminate.words(" ".join(copy))), decontaminate.shingles(decontaminate.words(text))
+            if copy and len(whole & have) >= 0.8 * len(whole):
+                want.add((len(texts), k))
+                texts.append("before " * random.randrange(300) + " ".join(copy) + " behind" * random.randrange(300))
+    found = {(t, i) for t, i, *_ in index.leaks(texts)}
+    assert len(want) > 100 and not want - found, (len(want - found), len(want))
