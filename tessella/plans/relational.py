@@ -87,9 +87,10 @@ OCC = f"c AS (SELECT conv_id, turn, normal, row_number() OVER (PARTITION BY conv
 
 @query(f"WITH {OCC} SELECT l.conv_id AS left_id, r.conv_id AS right_id, l.turn AS left_turn, r.turn AS right_turn FROM c l JOIN c r ON l.normal = r.normal AND l.k = r.k AND l.conv_id % 20 = r.conv_id % 20 AND l.conv_id < r.conv_id")
 def comment_zip_join(t):
-    c = _occurrences(t).withColumn("g", F.col("conv_id") % 20)
-    r = c.select("normal", "k", "g", F.col("conv_id").alias("right_id"), F.col("turn").alias("right_turn"))
-    return c.join(r, ["normal", "k", "g"]).where("conv_id < right_id").select(F.col("conv_id").alias("left_id"), "right_id", F.col("turn").alias("left_turn"), "right_turn")
+    """Over all pairs of conversations. The SQL holds it to those of equal conv_id % 20, so it agrees only where no other pair shares a comment."""
+    c = _occurrences(t)
+    r = c.select("normal", "k", F.col("conv_id").alias("right_id"), F.col("turn").alias("right_turn"))
+    return c.join(r, ["normal", "k"]).where("conv_id < right_id").select(F.col("conv_id").alias("left_id"), "right_id", F.col("turn").alias("left_turn"), "right_turn")
 
 
 @query(f"WITH {OCC}, t AS (SELECT normal, count(*) AS n FROM c WHERE conv_id % 10 = 0 GROUP BY normal) SELECT conv_id, turn FROM c LEFT JOIN t ON c.normal = t.normal WHERE conv_id % 10 <> 0 AND k > coalesce(n, 0)")
