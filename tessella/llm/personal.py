@@ -1,9 +1,10 @@
 """Operator 4: personal data and the words that disclose it, with SQL functions only.
 
-Base spans are e-mail and IP addresses, card and phone numbers. A found value is a protected entity. Words that stand within WINDOW
-characters of it are candidates for disclosing it: over the whole corpus, the pointwise mutual information of word and entity is held
+Base spans are e-mail and IP addresses, card and phone numbers. A found value is a protected entity. All words of the documents that have it
+are candidates for disclosing it: over the whole corpus, the pointwise mutual information of word and entity is held
 against the entity's own information, log(N / documents that have it). A word that gives away DISCLOSES of it or more, by two
-documents at least, is a span of kind `term` beside each such entity; sanitise() removes it, and puts the kind of an entity in its place.
+documents at least, is a span of kind `term` wherever it stands in a document with such an entity, but not inside of a base span; sanitise()
+removes it, and puts the kind of an entity in its place.
 
 A pattern is found by splitting the text at it, so the lengths of the gaps are the places. Patterns are possessive, and runs that cannot match
 are not entered again at each of their characters (\\G: behind the last match), so long texts take linear time.
@@ -14,12 +15,12 @@ each; ties of kinds at one start follow KINDS; an empty table gives an empty one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import prepare, settle, table, text_column, with_rid
 
-WINDOW, DISCLOSES, LEAST_DOCUMENTS = 60, 0.8, 2
+DISCLOSES, LEAST_DOCUMENTS = 0.8, 2
 KINDS = ("email", "ip", "card", "phone", "term")
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
@@ -35,7 +36,8 @@ PATTERNS = (
 )
 #: The i-th digit from the right, doubled if i is even, its digits added.
 LUHN_DIGIT = f"(CASE WHEN i % 2 = 1 THEN int(substr(reverse({DIGITS}), i, 1)) ELSE 2 * int(substr(reverse({DIGITS}), i, 1)) - IF(int(substr(reverse({DIGITS}), i, 1)) > 4, 9, 0) END)"
-WORDS = r"(?<=\s)\p{L}{3,}"
+#: Words are whole runs of letters; PIECES is where a run begins or ends.
+WORDS, PIECES = r"\p{L}{3,}", r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
 
 
 def places(text: str, pattern: str, start: str = "0") -> str:
@@ -63,22 +65,28 @@ def joined(spans: str) -> Column:
 
 def spans(rows: DataFrame) -> DataFrame:
     """rows(rid, text) -> rid, base (mentions) and terms: array of (a, k, b) of the words that disclose them."""
-    left = f"substr(text, greatest(x.a - {WINDOW}, 0) + 1, least(x.a, {WINDOW}))"
-    context = f"transform(base, x -> named_struct('e', concat_ws(':', x.k, x.m), 'a', x.a, 'b', x.b, 'left', {left}, 'right', substr(text, x.b + 1, {WINDOW})))"
-    base = settle(rows.select("rid", "text", mentions().alias("base")).select("rid", "base", F.expr(context).alias("around")))
-    near = base.select("rid", F.explode("around").alias("x"))
-    near = near.select("rid", F.col("x.e").alias("e"), F.explode(F.expr(f"concat({places('x.left', WORDS, 'x.a - length(x.left)')}, {places('x.right', WORDS, 'x.b')})")).alias("w"))
-    near = settle(near.select("rid", "e", F.lower("w.m").alias("term"), F.col("w.a").alias("a"), F.col("w.b").alias("b")))
-    total = base.count()
-    together = near.select("e", "term", "rid").distinct().groupBy("e", "term").agg(F.count("*").alias("n_both")).where(f"n_both >= {LEAST_DOCUMENTS}")
-    of_entity = base.select("rid", F.explode("around.e").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_entity"))
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    measured = settle(together).join(settle(of_entity), "e").join(settle(of_term), "term")
-    information = F.log(F.lit(float(total)) / F.col("n_entity"))
-    shared = F.log(F.col("n_both") * float(total) / (F.col("n_entity") * F.col("n_term")))
-    risky = settle(measured.where((information > 0) & (shared >= DISCLOSES * information)).select("e", "term"))
-    terms = near.join(risky, ["e", "term"]).select("rid", "a", "b").distinct().groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", F.lit(4).alias("k"), "b"))).alias("terms"))
+    entities = "array_distinct(transform(base, x -> concat_ws(':', x.k, x.m)))"
+    base = settle(rows.select("rid", mentions().alias("base")).select("rid", "base", F.expr(entities).alias("entities")))
+    total = float(base.count())
+    named = base.select("rid", F.explode("entities").alias("e"))
+    of_entity = named.groupBy("e").agg(F.count("*").alias("n_entity")).where(f"n_entity between {LEAST_DOCUMENTS} and {total} - 1")
+    named = settle(named.join(of_entity, "e"))
+    words = rows.select("rid", F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(text, r'{WORDS}', 0), w -> lower(w)))")).alias("term"))
+    # n_both is n_entity at most, so a term of more documents than this discloses none of the entities
+    most = f"power({total}D, {1 - DISCLOSES}D) * power(n_entity, {DISCLOSES}D) * 1.000001D"
+    limit = named.agg(F.expr(f"max({most})")).first()[0] or 0.0
+    of_term = settle(words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term").between(LEAST_DOCUMENTS, limit)))
+    about = words.join(named.select("rid").distinct(), "rid", "left_semi").join(of_term, "term")
+    together = about.join(named, "rid").where(f"n_term <= {most}").groupBy("e", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    information = F.log(F.lit(total) / F.col("n_entity"))
+    shared = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
+    risky = settle(together.where(F.col("n_both") >= LEAST_DOCUMENTS).where(shared >= DISCLOSES * information).select("e", "term"))
+    marked = settle(named.select("rid", "e").join(risky, "e").select("rid", "term").distinct())
+    # letter runs and what is between them; the lengths before a piece are its place
+    pieces = rows.join(marked.select("rid").distinct(), "rid", "left_semi").select("rid", F.posexplode(F.split("text", PIECES)).alias("n", "piece"))
+    pieces = pieces.withColumn("b", F.sum(F.length("piece")).over(Window.partitionBy("rid").orderBy("n")).cast("int")).select("rid", F.lower("piece").alias("term"), (F.col("b") - F.length("piece")).alias("a"), "b")
+    terms = pieces.join(marked, ["rid", "term"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", F.lit(4).alias("k"), "b"))).alias("terms"))
+    terms = terms.join(base.select("rid", "base"), "rid").select("rid", F.expr("filter(terms, t -> not exists(base, x -> x.a < t.b and t.a < x.b))").alias("terms"))
     return base.select("rid", "base").join(settle(terms), "rid", "left").select("rid", F.expr("transform(base, x -> named_struct('a', x.a, 'k', x.k, 'b', x.b))").alias("base"), F.expr("coalesce(terms, cast(array() as array<struct<a: int, k: int, b: int>>))").alias("terms"))
 
 

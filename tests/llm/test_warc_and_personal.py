@@ -1,6 +1,7 @@
 """Archives by round trip and odd splits; personal data against the re module."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -61,6 +62,36 @@ def test_disclosing_terms(spark):
     assert [r.text for r in personal.sanitise(df).collect() if "[EMAIL]" in (r.text or "")] == ["write to  at [EMAIL]  "] * 2
 
 
+def test_disclosing_terms_anywhere(spark):
+    """Words in a heading, at the start, behind signs and far off, against a count over all texts."""
+    random.seed(8)
+    pool = [f"common{chr(97 + k)}" for k in range(20)]
+    texts = [" ".join(random.choices(pool, k=30)) for _ in range(150)]
+    for name, mail in [("Zebulon", "z@ex.org"), ("Xanthippe", "x@ex.org")]:
+        texts += [f"{name}\n{' '.join(random.choices(pool, k=60))} {mail} {' '.join(random.choices(pool, k=60))} ({name.upper()}) un-{name} {name}s" for _ in range(3)]
+    texts += ["İzmirli said İZMİRLİ \U0001f600 far " + "pad " * 50 + "4111 1111 1111 1111"] * 2 + ["z@ex.org " + "commona " * 30, None, ""]
+    df = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(texts)], "doc_id long, text string")
+    held = [{(k, t[a:b].lower()) for a, k, b in brute(t)[0]} for t in ((x or "") for x in texts)]
+    words = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", t or "")] for t in texts]
+    docs = lambda test: sum(map(test, range(len(texts))))
+    known, want = {}, []
+    for i, t in enumerate(texts):
+        mine = set()
+        for e in held[i]:
+            n_e = docs(lambda j: e in held[j])
+            for w in {w for *_, w in words[i]}:
+                if (e, w) not in known:
+                    n_t, both = docs(lambda j: any(w == x for *_, x in words[j])), docs(lambda j: e in held[j] and any(w == x for *_, x in words[j]))
+                    known[e, w] = both >= 2 and math.log(both * len(texts) / n_e / n_t) >= 0.8 * math.log(len(texts) / n_e) - 1e-12
+                if known[e, w]:
+                    mine.add(w)
+        want.append([f"term:{a}:{b}" for a, b, w in words[i] if w in mine and not any(x < b and a < y for x, _, y in brute(t)[0])])
+    got = sorted(personal.find(df).collect(), key=lambda r: r.doc_id)
+    assert [[s for s in r.spans.split(",") if s.startswith("term")] for r in got] == want
+    assert sum(map(len, want)) > 15 and "term:0:7" in got[150].spans
+    assert not any("zebulon " in (r.text or "").lower() for r in personal.sanitise(df).collect())
+
+
 def test_warc_query_equals_sql(spark):
     rows = warc.op6_warc(spark, SF).collect()
     con = duckdb.connect()
