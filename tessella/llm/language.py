@@ -3,7 +3,7 @@
 Four kinds of evidence are multiplied: the likelihood of the text (byte trigrams of each language, and of none: `und`), what its markup
 declares, and what its address suggests: the languages of a host's texts, smoothed by those of all hosts with its suffix, smoothed by
 those of the whole corpus. The declarations' reliability and the priors are grouped aggregations over all rows. Only the trigram
-model is fitted on a bounded sample, about SAMPLE rows with a declared language.
+model is fitted on a sample: about SAMPLE rows, dealt evenly to all languages that LEAST rows of the whole table declare.
 
 Nulls and empty texts: a text without trigrams is no evidence, so declaration and prior decide; a null declaration is a kind of its own; a null address is a
 host of its own; a null doc_id is returned as null. Ties go to the first language of the alphabet. Repeated rows get equal
@@ -13,15 +13,16 @@ results; an empty table gives an empty one; if nothing is declared all texts are
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import hashed_sample, map_arrow, prepare, settle, table, text_column
+from tessella.llm.common import map_arrow, prepare, settle, table, text_column
 
-SAMPLE, LEAST = 4_000, 3
+SAMPLE, LEAST, FEW = 4_000, 3, 20
 BUCKETS = 1 << 16
 NONE = "und"
 #: Trigrams after which more text adds ever less, pseudo-counts of the next wider prior, and of declarations.
@@ -54,6 +55,22 @@ def train(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     return langs, out
 
 
+def stratified(rows: DataFrame, most: int) -> list[tuple[str, str]]:
+    """(declared, text) of about `most` rows, an even part of each declaration that LEAST rows have, but FEW rows of each (or all) in any case."""
+    counts = {r.declared: r["count"] for r in rows.groupBy("declared").count().where(F.col("count") >= LEAST).collect()}
+    if not counts:
+        return []
+    each = max(most // len(counts), FEW)
+    cuts = rows.sparkSession.createDataFrame([(k, min(1 << 40, (each << 40) // n)) for k, n in counts.items()], "declared string, cut long")
+    chosen = rows.join(F.broadcast(cuts), "declared").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.col("cut"))
+    size = each * len(counts)
+    out = [(r.declared, r.text) for r in chosen.select("declared", "text").limit(size + size // 4 + 1).collect()]
+    have = Counter(k for k, _ in out)
+    for k in sorted(k for k in counts if have[k] < LEAST):  # rows that hash alike may all be left out, or the limit may cut them off
+        out += [(r.declared, r.text) for r in rows.where(F.col("declared") == k).select("declared", "text").limit(LEAST).collect()]
+    return out
+
+
 def _likelihoods(model: np.ndarray):
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -84,8 +101,7 @@ def identify(rows: DataFrame, text: Column, declared: Column, address: Column, s
     host = F.coalesce(F.regexp_extract(F.lower(address), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]*)", 1), F.lit(""))
     code = F.regexp_extract(F.lower(F.coalesce(declared, F.lit(""))), "^[a-z]{2,3}", 0)
     base = rows.select(F.col("doc_id").cast("long").alias("doc_id"), code.alias("declared"), host.alias("host"), text_column() if text is None else F.coalesce(text, F.lit("")).alias("text"))
-    fitted = hashed_sample(base.where("declared <> '' and length(text) >= 3"), sample, "doc_id", "text").select("declared", "text").collect()
-    langs, model = train([(r.declared, r.text) for r in fitted])
+    langs, model = train(stratified(base.where("declared <> '' and length(text) >= 3"), sample))
     names = [*langs, NONE]
     scored = settle(map_arrow(base, _likelihoods, "doc_id long, declared string, host string, fit array<double>", model))
     fit = [F.col("fit")[k] for k in range(len(names))]

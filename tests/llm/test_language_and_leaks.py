@@ -3,6 +3,7 @@
 import random
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, language
 
@@ -32,6 +33,14 @@ def test_language_edges(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {*range(12), None, 90, 92}
 
 
+def test_rare_languages_are_modelled(spark):
+    rows = [(i, f"the cat and the dog went to the house number {i} " * 3, "en") for i in range(3_000)]
+    rows += [(9_000 + i, "ο σκύλος και η γάτα πήγαν στο σπίτι " * (3 + i), "el") for i in range(5)] + [(9_100, "der hund und die katze gingen nach hause " * 5, "de")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    out = language.identify(df, F.col("text"), F.col("lang"), F.col("source"), sample=60).collect()
+    assert len(out) == len(rows) and all(r.lang_id == r.declared and r.kept for r in out)
+
+
 def test_search_finds_all_above():
     random.seed(2)
     pool = [f"w{k}" for k in range(80)]
