@@ -3,7 +3,9 @@
 Four kinds of evidence are multiplied: the likelihood of the text (byte trigrams of each language, and of none: `und`), what its markup
 declares, and what its address suggests: the languages of a host's texts, smoothed by those of all hosts with its suffix, smoothed by
 those of the whole corpus. The declarations' reliability and the priors are grouped aggregations over all rows. Only the trigram
-model is fitted on a sample: about SAMPLE rows, dealt evenly to all languages that LEAST rows of the whole table declare.
+model is fitted on a sample: about SAMPLE rows, dealt evenly to all languages that LEAST rows of the whole table declare. A declaration is a label of the
+text model for the rows of that sample only; for all others it is evidence of its own. The texts of a host meet its prior by a broadcast, or, beyond HOSTS hosts, by a join
+of written tables, in which the adaptive plan splits a hot host.
 
 Nulls and empty texts: a text without trigrams is no evidence, so declaration and prior decide; a null declaration is a kind of its own; a null address is a
 host of its own; a null doc_id is returned as null. Ties go to the first language of the alphabet. Repeated rows get equal
@@ -13,16 +15,19 @@ results; an empty table gives an empty one; if nothing is declared all texts are
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_arrow, prepare, settle, table, text_column
+from tessella.llm.common import keyed, map_arrow, prepare, settle, sized, table, text_column, unpacked
 
 SAMPLE, LEAST, FEW = 4_000, 3, 20
+#: Hosts whose priors are sent to all tasks; with more of them, the texts of a host meet its prior by a shuffle.
+HOSTS = 50_000
+UNIT = 1 << 20
 BUCKETS = 1 << 16
 NONE = "und"
 #: Trigrams after which more text adds ever less, pseudo-counts of the next wider prior, and of declarations.
@@ -39,48 +44,65 @@ def grams(data: bytes) -> np.ndarray:
     return ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F) >> np.uint32(16)
 
 
-def train(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """Languages of at least LEAST rows, and the log-likelihood of each bucket (columns: languages, then `und`)."""
-    texts: dict[str, list[str]] = {}
-    for lang, text in rows:
-        texts.setdefault(lang, []).append(text)
-    langs = sorted(k for k, v in texts.items() if len(v) >= LEAST)
-    out = np.full((BUCKETS, len(langs) + 1), -math.log(BUCKETS), np.float32)
-    for k, lang in enumerate(langs):
-        count = np.full(BUCKETS, 0.01)
-        for text in texts[lang]:
-            if len(g := grams(text.encode())):  # texts count alike, so that a long one with a wrong label does little
-                count += np.bincount(g, minlength=BUCKETS) * (HALF / len(g))
-        out[:, k] = np.log(count / count.sum())
-    return langs, out
+def _weigh():
+    """Summed weights of the buckets of each declared language: a text is worth HALF trigrams, so that a long one with a wrong label does little. Whole numbers of 1 / UNIT, so that their order does not matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            found = [(lang, np.flatnonzero(w), w[w > 0]) for lang, w in held.items()]
+            names = pa.array([lang for lang, at, _ in found for _ in at], pa.string())
+            return pa.RecordBatch.from_arrays([names, *(pa.array(np.concatenate([f[k] for f in found])) for k in (1, 2))], names=["declared", "bucket", "weight"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(g := grams(text.encode())):
+                    held.setdefault(lang, np.zeros(BUCKETS, np.int64))[:] += np.rint(np.bincount(g, minlength=BUCKETS) * (HALF * UNIT / len(g))).astype(np.int64)
+                if len(held) > 32:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
 
+    return run
 
-def stratified(rows: DataFrame, most: int) -> list[tuple[str, str]]:
-    """(declared, text) of about `most` rows, an even part of each declaration that LEAST rows have, but FEW rows of each (or all) in any case."""
+
+def train(rows: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
+    """The languages that LEAST rows(declared, text) declare, and the log-likelihood of each bucket (columns: languages, then `und`), fitted on about `most` rows: an even part of each language, but FEW rows of each (or all) in any
+    case. The trigrams are counted where the rows are; the driver gets sums, BUCKETS a language at most."""
     counts = {r.declared: r["count"] for r in rows.groupBy("declared").count().where(F.col("count") >= LEAST).collect()}
-    if not counts:
-        return []
-    each = max(most // len(counts), FEW)
+    langs = sorted(counts)
+    out = np.full((BUCKETS, len(langs) + 1), -math.log(BUCKETS), np.float32)
+    if not langs:
+        return langs, out
+    each = max(most // len(langs), FEW)
     cuts = rows.sparkSession.createDataFrame([(k, min(1 << 40, (each << 40) // n)) for k, n in counts.items()], "declared string, cut long")
-    chosen = rows.join(F.broadcast(cuts), "declared").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.col("cut"))
-    size = each * len(counts)
-    out = [(r.declared, r.text) for r in chosen.select("declared", "text").limit(size + size // 4 + 1).collect()]
-    have = Counter(k for k, _ in out)
-    for k in sorted(k for k in counts if have[k] < LEAST):  # rows that hash alike may all be left out, or the limit may cut them off
-        out += [(r.declared, r.text) for r in rows.where(F.col("declared") == k).select("declared", "text").limit(LEAST).collect()]
-    return out
+    chosen = rows.join(F.broadcast(cuts), "declared").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.col("cut")).select("declared", "text")
+    sums = settle(chosen.mapInArrow(_weigh(), "declared string, bucket long, weight long").groupBy("declared", "bucket").agg(F.sum("weight").alias("weight")))
+    found = sums.toArrow()
+    lost = sorted(set(langs) - set(found.column("declared").to_pylist()))
+    if lost:  # rows that hash alike may all be left out: then the first ones stand for the language
+        rest = [rows.where(F.col("declared") == k).select("declared", "text").limit(FEW) for k in lost]
+        found = pa.concat_tables([found, *(r.mapInArrow(_weigh(), "declared string, bucket long, weight long").groupBy("declared", "bucket").agg(F.sum("weight").alias("weight")).toArrow() for r in rest)])
+    count = np.full((BUCKETS, len(langs)), 0.01)
+    at = {k: i for i, k in enumerate(langs)}
+    column = np.array([at[k] for k in found.column("declared").to_pylist()], np.int64)
+    count[found.column("bucket").to_numpy(), column] += found.column("weight").to_numpy() / UNIT
+    out[:, :-1] = np.log(count / count.sum(0))
+    return langs, out
 
 
 def _likelihoods(model: np.ndarray):
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text in batch.column(3).to_pylist():
+        for text in batch.column(4).to_pylist():
             g = grams(text.encode())
             mean = np.zeros(model.shape[1])
             for at in range(0, len(g), 1 << 20):
                 mean += model[g[at : at + (1 << 20)]].sum(0, dtype=np.float64)
             out.append((mean / (len(g) + HALF) * HALF).tolist())  # a mean over the text, worth HALF trigrams at most
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "declared", "host", "fit"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.list_(pa.float64()))], names=["rid", "doc_id", "declared", "host", "fit"])
 
     return step
 
@@ -95,15 +117,15 @@ def _best(scores: list[Column], names: list[str]) -> Column:
 
 
 def identify(rows: DataFrame, text: Column, declared: Column, address: Column, sample: int = SAMPLE) -> DataFrame:
-    """Per row: doc_id, declared, text_lang (by the text alone), lang_id, posterior, and kept: whether a language fits better than none."""
-    spark = rows.sparkSession
-    prepare(spark)
+    """Per row: doc_id, declared, text_lang (by the text alone), lang_id, posterior, and kept: whether a language fits better than none; rid, too, if the rows have it."""
+    prepare(rows.sparkSession)
     host = F.coalesce(F.regexp_extract(F.lower(address), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]*)", 1), F.lit(""))
     code = F.regexp_extract(F.lower(F.coalesce(declared, F.lit(""))), "^[a-z]{2,3}", 0)
-    base = rows.select(F.col("doc_id").cast("long").alias("doc_id"), code.alias("declared"), host.alias("host"), text_column() if text is None else F.coalesce(text, F.lit("")).alias("text"))
-    langs, model = train(stratified(base.where("declared <> '' and length(text) >= 3"), sample))
+    rid = F.col("rid") if "rid" in rows.columns else F.lit(None).cast("long")
+    base = rows.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), code.alias("declared"), host.alias("host"), F.coalesce(text, F.lit("")).alias("text"))
+    langs, model = train(base.where("declared <> '' and length(text) >= 3"), sample)
     names = [*langs, NONE]
-    scored = settle(map_arrow(base, _likelihoods, "doc_id long, declared string, host string, fit array<double>", model))
+    scored = settle(map_arrow(base, _likelihoods, "rid long, doc_id long, declared string, host string, fit array<double>", model))
     fit = [F.col("fit")[k] for k in range(len(names))]
     known = F.when(F.col("declared").isin(langs), F.col("declared")).otherwise(F.when(F.col("declared") == "", "").otherwise("other")) if langs else F.lit("")
     scored = scored.withColumn("text_lang", _best(fit, names)).withColumn("said", known)
@@ -130,23 +152,23 @@ def identify(rows: DataFrame, text: Column, declared: Column, address: Column, s
             out = F.when(F.col("said") == k, reliable[n][k]).otherwise(out)
         return out
 
-    fused = scored.join(priors, "host").select("*", *((fit[k] + F.col(f"p{k}") + declared_as(n)).alias(f"f{k}") for k, n in enumerate(names)))
+    fused = scored.join(sized(priors, HOSTS), "host").select("*", *((fit[k] + F.col(f"p{k}") + declared_as(n)).alias(f"f{k}") for k, n in enumerate(names)))
     f = [F.col(f"f{k}") for k in range(len(names))]
     top = F.greatest(*f) if len(f) > 1 else f[0]
     posterior = F.lit(1.0) / sum((F.exp(x - top) for x in f), F.lit(0.0))
-    out = fused.select("doc_id", "declared", "text_lang", _best(f, names).alias("lang_id"), posterior.alias("posterior"))
-    return out.withColumn("kept", F.col("lang_id") != NONE)
+    out = fused.select("rid", "doc_id", "declared", "text_lang", _best(f, names).alias("lang_id"), posterior.alias("posterior")).withColumn("kept", F.col("lang_id") != NONE)
+    return out if "rid" in rows.columns else out.drop("rid")
 
 
 def identify_documents(documents: DataFrame) -> DataFrame:
-    return identify(documents, F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
+    return identify(documents.select("doc_id", "text", "lang", "source"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
 
 
 def identify_pages(pages: DataFrame) -> DataFrame:
     """Web pages: the html element declares the language, the URL is the address, the text is what stands outside of tags."""
     html = F.col("html").cast("string")
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    return identify(pages.withColumn("doc_id", F.col("page_id")), text, F.regexp_extract(html, r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1), F.col("url").cast("string"))
+    return identify(pages.select(F.col("page_id").alias("doc_id"), "html", "url"), text, F.regexp_extract(html, r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1), F.col("url").cast("string"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +176,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(documents: DataFrame) -> DataFrame:
-    """documents without those of no language. Rows that repeat a doc_id go if one of them is rejected; rows without one stay."""
-    gone = settle(identify_documents(documents).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct())
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """documents without those of no language, row by row: rows that repeat a doc_id, or have none, are judged by themselves. All columns stay."""
+    prepare(documents.sparkSession)
+    rows = keyed(documents, F.col("doc_id").cast("long").alias("doc_id"), text_column(), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    gone = settle(identify(rows, F.col("text"), F.col("lang"), F.col("source")).where("not kept").select("rid"))
+    return unpacked(rows.join(sized(gone), "rid", "left_anti"))

@@ -10,7 +10,8 @@ A pattern is found by splitting the text at it, so the lengths of the gaps are t
 are not entered again at each of their characters (\\G: behind the last match), so long texts take linear time.
 
 Nulls: a null text is empty; a null doc_id is returned as null. Rows are told apart by a row id, so repeated rows are counted and returned
-each; ties of kinds at one start follow KINDS; an empty table gives an empty one. Columns other than doc_id and the text are not read by find().
+each; ties of kinds at one start follow KINDS; an empty table gives an empty one. Columns other than doc_id and the text are not read by find(), and kept by sanitise(), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import prepare, settle, table, text_column, with_rid
+from tessella.llm.common import keyed, prepare, settle, table, text_column, unpacked
 
 DISCLOSES, LEAST_DOCUMENTS = 0.8, 2
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -40,13 +41,26 @@ LUHN_DIGIT = f"(CASE WHEN i % 2 = 1 THEN int(substr(reverse({DIGITS}), i, 1)) EL
 WORDS, PIECES = r"\p{L}{3,}", r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
 
 
-def places(text: str, pattern: str, start: str = "0") -> str:
-    """SQL: array of (a, b, m), the matches of a pattern in a text and where they begin and end in code points, start added."""
+#: Matches whose places are added up in one go: long lists of matches are dealt to pieces, so that no growing array is copied for each match of a text.
+PIECE = 256
+
+
+def let(name: str, value: str, then: str) -> str:
+    """SQL: then, in which the name stands for the value, worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def places(text: str, pattern: str) -> str:
+    """SQL: array of (a, b, m), the matches of a pattern in a text and where they begin and end in code points."""
     gaps, hits = f"split({text}, r'{pattern}', -1)", f"regexp_extract_all({text}, r'{pattern}', 0)"
     empty = "cast(array() as array<struct<a: int, b: int, m: string>>)"
     ends = f"named_struct('at', s.at + length(g.gap) + length(g.hit), 'out', concat(s.out, array(named_struct('a', s.at + length(g.gap), 'b', s.at + length(g.gap) + length(g.hit), 'm', g.hit))))"
-    zipped = f"zip_with(slice({gaps}, 1, size({hits})), {hits}, (gap, hit) -> named_struct('gap', gap, 'hit', hit))"
-    return f"IF(size({hits}) = 0, {empty}, aggregate({zipped}, named_struct('at', {start}, 'out', {empty}), (s, g) -> {ends}).out)"
+    zipped = f"zip_with(slice({gaps}, 1, size(hits)), hits, (gap, hit) -> named_struct('gap', gap, 'hit', hit))"
+    piece = f"slice(pairs, p * {PIECE} + 1, {PIECE})"
+    lengths = f"transform(sequence(0, (size(pairs) - 1) div {PIECE}), p -> aggregate({piece}, 0, (n, g) -> n + length(g.gap) + length(g.hit)))"
+    begins = "aggregate(lengths, named_struct('at', 0, 'out', cast(array() as array<int>)), (s, n) -> named_struct('at', s.at + n, 'out', concat(s.out, array(s.at)))).out"
+    found = f"flatten(transform(begins, (begin, p) -> aggregate({piece}, named_struct('at', begin, 'out', {empty}), (s, g) -> {ends}).out))"
+    return let("hits", hits, f"IF(size(hits) = 0, {empty}, {let('pairs', zipped, let('lengths', lengths, let('begins', begins, found)))})")
 
 
 def mentions() -> Column:
@@ -93,7 +107,7 @@ def spans(rows: DataFrame) -> DataFrame:
 def find(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, the number of base spans of each kind, their digest, and all spans."""
     prepare(documents.sparkSession)
-    rows = with_rid(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()))
+    rows = keyed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()), F.col("doc_id"), F.col("text"))
     ids = settle(rows.select("rid", "doc_id"))
     found = ids.join(settle(spans(rows.select("rid", "text"))), "rid")
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
@@ -101,14 +115,19 @@ def find(documents: DataFrame) -> DataFrame:
 
 
 def sanitise(documents: DataFrame) -> DataFrame:
-    """documents with entities generalised to their kind in brackets and disclosing words removed; where spans overlap the first one counts."""
+    """documents with entities generalised to their kind in brackets and disclosing words removed. Spans that overlap are one stretch and take the kind of the first. Texts without spans, null ones
+    too, and all other columns stay as they are."""
     prepare(documents.sparkSession)
-    rows = with_rid(documents)
-    found = settle(spans(rows.select("rid", text_column())))
+    rows = keyed(documents, text_column())
+    found = spans(rows.select("rid", "text")).select("rid", F.explode(F.concat("base", "terms")).alias("x")).select("rid", "x.*")
+    by = Window.partitionBy("rid").orderBy("a", "k", "b")
+    begins = F.coalesce(F.col("a") >= F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    stretches = found.withColumn("n", F.sum(begins.cast("int")).over(by)).groupBy("rid", "n").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min_by("k", F.struct("a", "k")).alias("k"))
+    cuts = settle(stretches.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", "b", "k"))).alias("cuts")))
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS[:4])
-    step = f"IF(x.a < s.at, s, named_struct('at', x.b, 'out', concat(s.out, substr(text, s.at + 1, x.a - s.at), array({names}, '')[x.k])))"
-    built = F.expr(f"aggregate(array_sort(concat(base, terms)), named_struct('at', 0, 'out', ''), (s, x) -> {step}, s -> concat(s.out, substr(text, s.at + 1)))")
-    return rows.join(found, "rid").select(*(built.alias("text") if c == "text" else c for c in documents.columns))
+    pieces = f"transform(cuts, (x, i) -> concat(substr(text, IF(i = 0, 0, cuts[i - 1].b) + 1, x.a - IF(i = 0, 0, cuts[i - 1].b)), array({names}, '')[x.k]))"
+    built = F.expr(f"IF(cuts IS NULL, cast(row.text as string), concat(array_join({pieces}, ''), substr(text, cuts[size(cuts) - 1].b + 1)))")
+    return unpacked(rows.join(cuts, "rid", "left"), text=built)
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,15 @@ Two fingerprints at RADIUS or fewer differing bits agree in at least len(blocks)
 fingerprints are dealt to shards, one for each choice of BLOCKS - RADIUS blocks and what they hold: every link falls into a shard, shards are
 small, and no tree grows with the corpus. A shard's BK-tree has children keyed by their distance to the parent; a search follows the
 edges within the radius only. Trees of all shards of a task are built and searched together, a level at a time, and only what joins
-components leaves a shard: an edge to the smallest fingerprint of each group, never all pairs.
+components leaves a shard: an edge to the first fingerprint of each group, never all pairs.
 
 The shards are not broadcast: they grow with the corpus, so each is sent to one task instead.
 
 Nulls: a null text has no words and the fingerprint zero. A null doc_id is never the smallest, unless its component has no other: then the
-component is null. Equal texts, repeated rows and ties share a component; an empty table gives an empty one. Columns other than doc_id and
-the text are not read.
+component is null. Equal texts, repeated rows and ties share a component; rows that repeat a doc_id with other texts do not, unless these are linked; an
+empty table gives an empty one. Columns other than doc_id and the text are not read.
+
+The pipeline's stage, which asks for a similarity and not for a number of bits, is in near_copies.py and searches the same trees.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_arrow, prepare, settle, table, text_column
+from tessella.llm.common import map_arrow, prepare, settle, sized, table, text_column
 from tessella.llm.components import components
 from tessella.llm.docstats import WORD
 
@@ -129,12 +131,12 @@ def _shard_edges(radius: int):
         if not kept:
             return
         whole = pa.Table.from_batches(kept)
-        shard, fp, node = (whole.column(c).to_numpy() for c in ("shard", "fp", "node"))
-        order = np.lexsort((node, shard))
-        shard, point, node = shard[order], fp[order].view(np.uint64), node[order]
-        up = _smallest(len(point), Forest(shard, point).links(radius))
+        shard, fp = (whole.column(c).to_numpy() for c in ("shard", "fp"))
+        order = np.lexsort((fp, shard))
+        shard, fp = shard[order], fp[order]
+        up = _smallest(len(fp), Forest(shard, fp.view(np.uint64)).links(radius))
         joined = np.flatnonzero(up != np.arange(len(up)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[up[joined]]), pa.array(node[joined])], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[up[joined]]), pa.array(fp[joined])], names=["u", "v"])
 
     return run
 
@@ -154,24 +156,16 @@ def group(documents: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> D
     """Per row: doc_id, fingerprint and component_id, the smallest doc_id that links reach."""
     prepare(documents.sparkSession)
     marked = settle(map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()), _fingerprints, "doc_id long, fp long"))
-    # A node is the smallest doc_id of a fingerprint; a fingerprint that only null ids have gets a node above all ids.
-    nameless = F.lit(2**62) + F.shiftrightunsigned(F.col("fp"), 2)
-    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("low")).select("fp", F.coalesce("low", nameless).alias("node"), "low"))
-    # repeated doc_ids may name two fingerprints: they are one node then, and so linked
-    shards = nodes.select(F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("shard"), "fp", "node")
+    # A node is a fingerprint, whatever ids its rows have: rows that share an id are linked by their texts only.
+    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    shards = nodes.select(F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("shard"), "fp")
     n = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * 15 // 1_000_000 + 1)
-    edges = shards.repartition(n, "shard").mapInArrow(_shard_edges(radius), "u long, v long")
-    roots = components(edges)
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    named = settle(named.select("fp", F.when(F.col("root") < 2**62, F.col("root")).alias("component_id")))
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = components(shards.repartition(n, "shard").mapInArrow(_shard_edges(radius), "u long, v long"))
+    rooted = settle(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = settle(rooted.join(lowest, "root").select("fp", "component_id"))
+    return marked.join(sized(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))
-
-
-def keep_one(documents: DataFrame, **how: int) -> DataFrame:
-    """documents without those that are not the smallest doc_id of their component. Rows that repeat a doc_id stay or go together; rows without one stay."""
-    gone = settle(group(documents, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["gone_id"], "left_anti")

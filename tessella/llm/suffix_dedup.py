@@ -8,16 +8,18 @@ suffixes are sorted, only two sets that decide for all:
    stretch that the group spans. If no other anchor has the block, no window of the group is repeated; if another has block and
    stretch, all are.
 2. Windows of the groups that are left (the block is repeated, the stretch is not: about the ends of repeated passages), and of one
-   group of each repeated stretch whose block other stretches have too, for them to be compared with. Each is a suffix of its own; its leading tokens are the halves of its LENGTH bytes.
+   group of each repeated stretch whose block other stretches have too, for them to be compared with. Each is a suffix of its own, of which LENGTH bytes count.
 
-Tokens are 64-bit names (polynomial hashes, so equality means 128 equal bits); an order of names serves as well as one of bytes, as only equality counts.
+Tokens are BLAKE2b digests of their bytes, 64 bits each (both tokens of a window are the halves of one digest of its bytes), so equal tokens mean equal bytes unless
+someone breaks the hash; an order of digests serves as well as one of bytes, as only equality counts. A rolling polynomial chooses the blocks; what it cannot tell
+apart it chooses by the place, alike in equal windows, so the result does not rest on it.
 Sorted splitters from a sample (Spark's range partitioner) deal the suffixes to buckets by their tokens and, among equal
 ones, by text and position, so that a string of very many copies is split over buckets. Each bucket sorts by multikey quicksort and
-compares neighbours; the first and last suffixes of the buckets are compared across boundaries.
+compares neighbours; tokens that stand at the ends of two buckets or more are found by an aggregation and compared across the boundaries.
 
 Nulls: a null text is empty and has nothing removed; a null doc_id is returned as null. Each row is a text of its own, so repeated rows of LENGTH
 bytes and more lose all their bytes. Texts shorter than LENGTH keep all; an empty table gives an empty one. Columns other than doc_id
-and the text are not read.
+and the text are not read by dedup(), and kept by stripped(), whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_arrow, prepare, settle, table, text_column, with_rid
+from tessella.llm.common import keyed, map_arrow, prepare, settle, sized, table, text_column, unpacked
 
 LENGTH, BLOCK = 400, 272
 #: Bytes of a text that are looked at together, and suffixes of a bucket.
@@ -42,7 +44,7 @@ BASE = 0x9E3779B97F4A7C15
 
 
 class Names:
-    """Names of substrings: differences of a running polynomial modulo 2^64, moved to the same power."""
+    """Rolling hashes of substrings, by which blocks are chosen: differences of a running polynomial modulo 2^64, moved to the same power."""
 
     def __init__(self, most: int):
         self.value = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
@@ -52,26 +54,29 @@ class Names:
         np.multiply.accumulate(self.power, out=self.power)
         np.multiply.accumulate(self.inverse, out=self.inverse)
 
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.value[data] * self.power[: len(data)], out=out[1:])
-        return out
-
-    def name(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (sums[end] - sums[start]) * self.inverse[start]
+    def blocks(self, data: np.ndarray, block: int) -> np.ndarray:
+        n = len(data) - block + 1
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.value[data] * self.power[: len(data)], out=sums[1:])
+        h = (sums[block:] - sums[:n]) * self.inverse[:n]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(29))
 
 
-def anchors(names: Names, data: np.ndarray, length: int, block: int) -> tuple[np.ndarray, ...]:
-    """(block name, stretch name, first window, windows) of each group of windows of a piece."""
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """BLAKE2b of substrings: a row of longs each."""
+    view = memoryview(data)
+    found = b"".join([hashlib.blake2b(view[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(found, np.int64).reshape(-1, size // 8)
+
+
+def anchors(names: Names, data: bytes, length: int, block: int) -> tuple[np.ndarray, ...]:
+    """(block's digest, stretch's digest, first window, windows) of each group of windows of a piece."""
     n, span = len(data) - length + 1, length - block + 1
-    sums = names.sums(data)
     at = np.arange(len(data) - block + 1)
-    blocks = names.name(sums, at, at + block)
     # the leftmost smallest hash of each window: the place breaks ties; minima over 1, 2, 4 ... places, then over any two that cover the span
-    key = (blocks >> np.uint64(21) << np.uint64(21)) | at.astype(np.uint64)
+    key = (names.blocks(np.frombuffer(data, np.uint8), block) >> np.uint64(21) << np.uint64(21)) | at.astype(np.uint64)
     wide = 1
     while 2 * wide <= span:
         key = np.minimum(key[:-wide], key[wide:])
@@ -80,8 +85,8 @@ def anchors(names: Names, data: np.ndarray, length: int, block: int) -> tuple[np
     chosen = (key & np.uint64((1 << 21) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
     count = np.diff(np.r_[first, n])
-    stretch = names.name(sums, first, first + count - 1 + length) + (chosen[first] - first).astype(np.uint64) * np.uint64(BASE)
-    return blocks[chosen[first]], stretch, first, count
+    places = chosen[first]
+    return digests(data, places, places + block, 8)[:, 0], digests(data, first, first + count - 1 + length, 8)[:, 0], first, count
 
 
 def _batch(t1, t2, rid, at, n) -> pa.RecordBatch:
@@ -92,7 +97,7 @@ def _joined(found: list[tuple]) -> pa.RecordBatch | None:
     if not found:
         return None
     t1, t2, rid, at, n = (np.concatenate(x) for x in zip(*found))
-    return _batch(t1.view(np.int64), t2.view(np.int64), rid, at, n)
+    return _batch(t1, t2, rid, at, n)
 
 
 def _anchors(length: int, block: int):
@@ -101,7 +106,7 @@ def _anchors(length: int, block: int):
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = []
         for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data = np.frombuffer(text.encode(), np.uint8)
+            data = text.encode()
             for begin in range(0, len(data) - length + 1, CHUNK):
                 t1, t2, first, count = anchors(names, data[begin : begin + CHUNK + length - 1], length, block)
                 found.append((t1, t2, np.full(len(t1), rid), first + begin, count))
@@ -111,17 +116,14 @@ def _anchors(length: int, block: int):
 
 
 def _windows(length: int):
-    names = Names(4 * length)
-
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = []
         for rid, text, groups in zip(*(c.to_pylist() for c in batch.columns)):
-            data = np.frombuffer(text.encode(), np.uint8)
+            data = text.encode()
             for g in groups:
-                sums = names.sums(data[g["at"] : g["at"] + g["n"] - 1 + length])
-                at = np.arange(g["n"])
-                t1, t2 = names.name(sums, at, at + length // 2), names.name(sums, at + length // 2, at + length)
-                found.append((t1, t2, np.full(len(at), rid), at + g["at"], np.ones(len(at))))
+                at = np.arange(g["at"], g["at"] + g["n"])
+                both = digests(data, at, at + length, 16)
+                found.append((both[:, 0], both[:, 1], np.full(len(at), rid), at, np.ones(len(at))))
         return _joined(found)
 
     return step
@@ -186,16 +188,12 @@ def repeated(suffixes: DataFrame, total: int) -> DataFrame:
     held = [dealt]
     del dealt
     dealt = settle(held.pop())
-    # Two rows of each bucket, at most, tell what crosses the boundaries.
-    ends = sorted(((r.bucket, r.t1, r.t2) for r in dealt.where("edge").select("bucket", "t1", "t2").collect()))
-    cross1 = {a[1] for a, b in zip(ends, ends[1:]) if a[0] != b[0] and a[1] == b[1]}
-    cross2 = {a[1:] for a, b in zip(ends, ends[1:]) if a[0] != b[0] and a[1:] == b[1:]}
-    if not cross1:
-        return dealt.where("one").select("rid", "at", "n", "both", (~F.col("both") | (F.col("first") & F.col("mixed"))).alias("open"))
-    # Bounded by the number of buckets, so it is sent to all tasks.
-    c1 = F.broadcast(spark.createDataFrame([(t,) for t in sorted(cross1)], "c1 long"))
-    c2 = F.broadcast(spark.createDataFrame(sorted(cross2), "d1 long, d2 long"))
-    seen = dealt.join(c1, F.col("t1") == F.col("c1"), "left").join(c2, (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")), "left")
+    # Suffixes are in order, so tokens at the ends of two buckets cross the boundary between them; two rows of a bucket, at most, tell.
+    ends = dealt.where("edge")
+    crossing = lambda: F.min("bucket") < F.max("bucket")
+    c1 = settle(ends.groupBy(F.col("t1").alias("c1")).agg(crossing().alias("over")).where("over").select("c1"))
+    c2 = settle(ends.groupBy(F.col("t1").alias("d1"), F.col("t2").alias("d2")).agg(crossing().alias("over")).where("over").select("d1", "d2"))
+    seen = dealt.join(sized(c1), F.col("t1") == F.col("c1"), "left").join(sized(c2), (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")), "left")
     both = F.col("both") | F.col("d2").isNotNull()
     return seen.where("one or c1 is not null").select("rid", "at", "n", both.alias("both"), (~both | (F.col("first") & (F.col("mixed") | F.col("c1").isNotNull()))).alias("open"))
 
@@ -235,7 +233,7 @@ def _strip(length: int):
         for data, runs in _cut(batch, length):
             ends = [0, *(b for _, b in runs)]
             texts.append(b"".join(data[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(data)])).decode("utf-8", "replace"))
-        return pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(texts, pa.string())], names=["rid", "text"])
+        return pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(texts, pa.string())], names=["rid", "left"])
 
     return step
 
@@ -255,18 +253,18 @@ def spans(source: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFr
 def dedup(documents: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, its bytes, those removed, the runs of them, and the digest of what is left."""
     prepare(documents.sparkSession)
-    source = with_rid(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()))
+    source = keyed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()), F.col("doc_id"), F.col("text"))
     found = spans(source.select("rid", "text"), length, block)
-    return map_arrow(source.join(found, "rid", "left").select("doc_id", "text", "spans"), _digest, SCHEMA, length)
+    return map_arrow(source.select("rid", "doc_id", "text").join(found, "rid", "left").select("doc_id", "text", "spans"), _digest, SCHEMA, length)
 
 
 def stripped(documents: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """documents with what is left of each text; a character of which a part is removed becomes U+FFFD."""
+    """documents with what is left of each text; a character of which a part is removed becomes U+FFFD. Texts that lose nothing, null ones too, stay as they are."""
     prepare(documents.sparkSession)
-    source = with_rid(documents)
-    found = spans(source.select("rid", text_column()), length, block)
-    texts = map_arrow(source.select("rid", text_column()).join(found, "rid").select("rid", "text", "spans"), _strip, "rid long, text string", length).withColumnRenamed("text", "left_text")
-    return source.join(texts, "rid", "left").select(*(F.coalesce("left_text", "text").alias("text") if c == "text" else c for c in documents.columns))
+    source = keyed(documents, text_column())
+    found = spans(source.select("rid", "text"), length, block)
+    left = map_arrow(source.select("rid", "text").join(found, "rid").select("rid", "text", "spans"), _strip, "rid long, left string", length)
+    return unpacked(source.select("rid", "row").join(left, "rid", "left"), text=F.coalesce(F.col("left"), F.col("row.text").cast("string")))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
