@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import map_arrow, settle, table
-from tessella.llm.docstats import COUNTS, FEATURES, labelled_sample, measured
+from tessella.llm.docstats import COUNTS, FEATURES, feature_rows, labelled_sample, measured
 
 #: Labelled rows that are fitted on at most, and the least probability of quality that is kept.
 SAMPLE, KEEP = 20_000, 0.3
@@ -99,7 +99,7 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, rounds: int = 60, de
 
 def _judge(trees: Trees, keep: float):
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array(batch.column("features").to_pylist(), float).reshape(batch.num_rows, len(FEATURES))
+        x = feature_rows(batch)
         n, repeats = batch.column("n_words").to_numpy(), batch.column("n_repeat_words").to_numpy()
         failed, p = (n < 50) | (100 * repeats > 50 * n), trees.probability(x)
         columns = [batch.column("doc_id"), *(batch.column(c) for c in COUNTS if c != "n_words"), batch.column("n_words")]

@@ -5,7 +5,8 @@ starts at that position, an inner node the smaller of its children, so the root
 changes three leaves at most; each change climbs to the root, so a pre-token of n bytes takes O(n log n) whatever it holds.
 
 Nulls: a null text is encoded as the empty one (no ids); a null doc_id is returned as null. Each row is encoded by itself, so
-repeated rows give repeated results and an empty table gives an empty one. Columns other than doc_id and the text are not read.
+repeated rows give repeated results and an empty table gives an empty one. Columns other than doc_id and the text are not read by round_trip(), and kept by encode() and decode(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm.common import map_arrow, prepare, table, text_column
+from tessella.llm.common import fresh, map_arrow, prepare, quoted, table, text_column
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -308,8 +310,11 @@ def _tokens(path: str, how: str):
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column(batch.num_columns - 1).to_pylist()
-        out = pa.array([None if x is None else ids for x, ids in zip(column, model.encode_many([x or "" for x in column]), strict=True)], pa.list_(pa.int32())) if how == "encode" else pa.array([None if x is None else model.decode(x) for x in column], pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], "value"])
+        if how == "encode":
+            out = pa.array([None if x is None else ids for x, ids in zip(column, model.encode_many([x or "" for x in column]), strict=True)], pa.list_(pa.int32()))
+        else:
+            out = pa.array([None if x is None else model.decode(x) for x in column], pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=batch.schema.names)
 
     return step
 
@@ -325,12 +330,13 @@ def decode(df: DataFrame, ids: str = "token_ids", to: str = "decoded", path: str
 
 
 def _column(df: DataFrame, source: str, to: str, how: str, path: str | None) -> DataFrame:
+    """The values go as the last column, under a name that no column has; a column named `to` is replaced."""
     prepare(df.sparkSession)
-    kind = "array<int>" if how == "encode" else "string"
-    kept = [c for c in df.columns if c != to]
-    value = F.col(source).cast("string" if how == "encode" else "array<int>").alias("value")
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(kept).schema.fields), f"value {kind}"])
-    return map_arrow(df.select(*kept, value), _tokens, fields, path or default_path(), how).withColumnRenamed("value", to)
+    value = fresh(df, "value")
+    kept = df.select(*(F.col(quoted(c)) for c in df.columns if c.lower() != to.lower()))
+    rows = df.select(*(F.col(quoted(c)) for c in kept.columns), F.col(quoted(source)).cast("string" if how == "encode" else "array<int>").alias(value))
+    schema = T.StructType([*kept.schema.fields, T.StructField(value, T.ArrayType(T.IntegerType()) if how == "encode" else T.StringType())])
+    return map_arrow(rows, _tokens, schema, path or default_path(), how).withColumnRenamed(value, to)
 
 
 def round_trip(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -60,15 +60,16 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, make: Callable[..., Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, *args: Any) -> DataFrame:
-    """mapInArrow with a function that is built once per task: make(*args) returns batch -> batch."""
+    """mapInArrow with a function that is built once per task: make(*args) returns batch -> batch. The columns travel under plain names, as mapInArrow takes dots for fields."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make(*args)
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
+            if batch.num_rows and (out := step(pa.RecordBatch.from_arrays(batch.columns, names=names))) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
 
 
 def quoted(name: str) -> str:

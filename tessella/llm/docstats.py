@@ -57,12 +57,19 @@ def measure(text: str) -> tuple[list[int], list[float]]:
 def _measure():
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [measure(t) for t in batch.column(1).to_pylist()]
-        counts = [pa.array([f[0][k] for f in found], pa.int64()) for k in range(len(COUNTS))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["doc_id", *COUNTS, "features"])
+        counts = np.array([f[0] for f in found], np.int64)
+        features = pa.array(np.array([f[1] for f in found], float).ravel())
+        lists = pa.ListArray.from_arrays(np.arange(0, len(features) + 1, len(FEATURES), dtype=np.int32), features)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts.T), lists], names=["doc_id", *COUNTS, "features"])
 
     return step
 
 
+def feature_rows(batch: pa.RecordBatch) -> np.ndarray:
+    """The features of a batch, a row each, without a Python object for each number."""
+    return batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
+
+
 def measured(df: DataFrame) -> DataFrame:
     """doc_id, COUNTS and the features of each row; a null text counts as the empty one."""
     prepare(df.sparkSession)
@@ -74,5 +81,5 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, most: int, label: str =
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("label"))
     # both sides are written tables, so a hot partition of the join can be split
     both = settle(stats.where("doc_id is not null").select("doc_id", "features").join(settle(known), "doc_id"))
-    rows = hashed_sample(both, most, "doc_id").select("features", "label").collect()
-    return np.array([r.features for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.label for r in rows], int)
+    rows = sorted((r.features, r.label) for r in hashed_sample(both, most, "doc_id").select("features", "label").collect())  # the fit does not rest on the order of partitions
+    return np.array([f for f, _ in rows], float).reshape(len(rows), len(FEATURES)), np.array([y for _, y in rows], int)

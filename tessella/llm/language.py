@@ -7,7 +7,7 @@ model is fitted on a sample: about SAMPLE rows, dealt evenly to all languages th
 text model for the rows of that sample only; for all others it is evidence of its own. The texts of a host meet its prior by a broadcast, or, beyond HOSTS hosts, by a join
 of written tables, in which the adaptive plan splits a hot host.
 
-Nulls and empty texts: a text without trigrams is no evidence, so declaration and prior decide; a null declaration is a kind of its own; a null address is a
+Nulls and empty texts: a text without trigrams is no evidence and is counted nowhere (its text_lang is `und`), so declaration and prior decide, and it is kept; a null declaration is a kind of its own; a null address is a
 host of its own; a null doc_id is returned as null. Ties go to the first language of the alphabet. Repeated rows get equal
 results; an empty table gives an empty one; if nothing is declared all texts are `und` and rejected.
 """
@@ -128,15 +128,16 @@ def identify(rows: DataFrame, text: Column, declared: Column, address: Column, s
     scored = settle(map_arrow(base, _likelihoods, "rid long, doc_id long, declared string, host string, fit array<double>", model))
     fit = [F.col("fit")[k] for k in range(len(names))]
     known = F.when(F.col("declared").isin(langs), F.col("declared")).otherwise(F.when(F.col("declared") == "", "").otherwise("other")) if langs else F.lit("")
-    scored = scored.withColumn("text_lang", _best(fit, names)).withColumn("said", known)
+    # texts without trigrams say nothing of their declarations and hosts
+    scored = scored.withColumn("tells", F.exists("fit", lambda x: x != 0)).withColumn("text_lang", F.when(F.col("tells"), _best(fit, names)).otherwise(NONE)).withColumn("said", known)
 
     # How often texts of each language declare what: few rows whatever the input.
-    said = {(r.text_lang, r.said): r["count"] for r in scored.groupBy("text_lang", "said").count().collect()}
+    said = {(r.text_lang, r.said): r["count"] for r in scored.where("tells").groupBy("text_lang", "said").count().collect()}
     kinds = [*langs, "other", ""]
     reliable = {n: {k: math.log((said.get((n, k), 0) + DECLARED_WEIGHT) / (sum(said.get((n, x), 0) for x in kinds) + DECLARED_WEIGHT * len(kinds))) for k in kinds} for n in names}
 
     # Priors of hosts, smoothed by their suffix, smoothed by the whole.
-    counts = [F.sum((F.col("text_lang") == n).cast("long")).alias(f"n{k}") for k, n in enumerate(names)]
+    counts = [F.sum((F.col("tells") & (F.col("text_lang") == n)).cast("long")).alias(f"n{k}") for k, n in enumerate(names)]
     hosts = settle(scored.groupBy("host").agg(*counts).withColumn("suffix", F.regexp_extract("host", r"\.([a-z]{2,})$", 1)))
     again = [F.sum(f"n{k}").alias(f"s{k}") for k in range(len(names))]
     suffixes = settle(hosts.groupBy("suffix").agg(*again))
@@ -156,7 +157,7 @@ def identify(rows: DataFrame, text: Column, declared: Column, address: Column, s
     f = [F.col(f"f{k}") for k in range(len(names))]
     top = F.greatest(*f) if len(f) > 1 else f[0]
     posterior = F.lit(1.0) / sum((F.exp(x - top) for x in f), F.lit(0.0))
-    out = fused.select("rid", "doc_id", "declared", "text_lang", _best(f, names).alias("lang_id"), posterior.alias("posterior")).withColumn("kept", F.col("lang_id") != NONE)
+    out = fused.select("rid", "doc_id", "declared", "text_lang", "tells", _best(f, names).alias("lang_id"), posterior.alias("posterior")).withColumn("kept", ~F.col("tells") | (F.col("lang_id") != NONE)).drop("tells")
     return out if "rid" in rows.columns else out.drop("rid")
 
 

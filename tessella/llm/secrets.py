@@ -118,8 +118,7 @@ def _redact(rules: tuple[Rule, ...]):
 def redact(df: DataFrame) -> DataFrame:
     """df with each secret in the text replaced by its kind in brackets; of overlapping ones the whole stretch goes. Null texts stay null."""
     prepare(df.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_arrow(df, _redact, fields, RULES)
+    return map_arrow(df, _redact, df.schema, RULES)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,16 @@ writes gzip members, one a record, to files of its own in a shared folder; only
 executor leaves files that nobody reads. Folders are reached with pyarrow.fs, so any store that it knows will do.
 
 Reading: a task gets a range of bytes of a file, looks for the gzip magic, validates a candidate by decoding its first bytes to a WARC header,
-and owns the records that start in its range; the last may end beyond it.
+and owns the records that start in its range; the last may end beyond it. Archives of others are read, too: the names of fields are taken in either case, what is no
+response or revisit comes with its type and its block as the payload, and records without a page's id have none. A member that is cut off, cannot be
+unpacked, has no header or does not match its digest is a row of type `damaged`, with what is known of it; reading goes on at the next member.
 
 Nulls: a null html is the empty payload; a null page_id is written as none, comes after all others and is read as null; a null url is
 empty. Rows that repeat a page_id and payload are responses both if that id is the smallest. Empty payloads count like others; an empty
-table gives an empty archive. Columns other than page_id, url and html are not read.
+table gives an empty archive. Columns other than page_id, url and html are not read. round_trip() removes its archives once they have been read.
+
+Payloads are not shuffled: the digests of those that occur twice are sent to all tasks, up to FIRSTS of them; beyond, pages meet them in a join whose hot keys the
+adaptive plan splits.
 """
 
 from __future__ import annotations
@@ -26,9 +31,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_arrow, prepare, settle, shared_dir, table
+from tessella.llm.common import prepare, remove, settle, shared_dir, sized, table
 
-LEAST, SPLIT, FILE, READ = 0, 16 << 20, 256 << 20, 1 << 18
+LEAST, SPLIT, FILE, READ, FIRSTS = 0, 16 << 20, 256 << 20, 1 << 18, 200_000
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -88,7 +93,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     digest = F.struct(F.sha1("html").alias("sha"), F.octet_length("html").alias("n"))
     firsts = rows.groupBy(digest.alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where(f"copies > 1 and digest.n >= {least}")
     firsts = settle(firsts.select(F.col("digest.sha").alias("sha"), F.col("digest.n").alias("n"), "first"))
-    joined = rows.withColumn("sha", F.sha1("html")).withColumn("n", F.octet_length("html")).join(firsts, ["sha", "n"], "left")
+    joined = rows.withColumn("sha", F.sha1("html")).withColumn("n", F.octet_length("html")).join(sized(firsts, FIRSTS), ["sha", "n"], "left")
     return settle(joined.select("page_id", "url", "html", "first").mapInArrow(_write(folder), "path string, size long"))
 
 
@@ -106,7 +111,7 @@ class Reader:
     def valid(self, at: int) -> bool:
         """Whether a member with a WARC header starts here."""
         try:
-            return zlib.decompressobj(31).decompress(self.read(at, 4096), 64).startswith(b"WARC/1.")
+            return zlib.decompressobj(31).decompress(self.read(at, 4096), 64).startswith(b"WARC/")
         except zlib.error:
             return False
 
@@ -126,35 +131,65 @@ class Reader:
             at += READ
         return -1
 
-    def __iter__(self) -> Iterator[bytes]:
+    def member(self, at: int) -> tuple[bytes, int, bool]:
+        """What the member that starts here unpacks to, where it ends, and whether it is whole."""
+        unpack, out, place = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            piece = self.read(place, READ)
+            if not piece:
+                return b"".join(out), place, False
+            place += len(piece)
+            try:
+                out.append(unpack.decompress(piece))
+            except zlib.error:
+                return self.head(at), at + 1, False
+        return b"".join(out), place - len(unpack.unused_data), True
+
+    def head(self, at: int) -> bytes:
+        """The first bytes of a damaged member, as far as they can be unpacked."""
+        unpack, out = zlib.decompressobj(31), []
+        data = self.read(at, 4096)
+        try:
+            for k in range(0, len(data), 64):
+                out.append(unpack.decompress(data[k : k + 64]))
+        except zlib.error:
+            pass
+        return b"".join(out)
+
+    def __iter__(self) -> Iterator[tuple[bytes, bool]]:
+        """(record, whether its member is whole)"""
         at = self.find(self.start)
         while 0 <= at < self.end:
-            unpack, out, place = zlib.decompressobj(31), [], at
-            while not unpack.eof:
-                piece = self.read(place, READ)
-                if not piece:
-                    raise ValueError("an archive ends within a record")
-                place += len(piece)
-                out.append(unpack.decompress(piece))
-            yield b"".join(out)
-            at = place - len(unpack.unused_data)
-            if at < self.end and not self.valid(at):
+            data, end, whole = self.member(at)
+            yield data, whole
+            at = end if whole else at + 1
+            if at < self.end and not (whole and self.valid(at)):
                 at = self.find(at)
         self.file.close()
 
 
-def parse(data: bytes) -> tuple:
+def parse(data: bytes, whole: bool = True) -> tuple:
+    """READ_SCHEMA of a record."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
-    payload = body.partition(b"\r\n\r\n")[2]
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    number = lambda k: int(fields[k]) if fields.get(k) else None
-    if fields["WARC-Type"] == "response":
-        if base32_sha1(payload) != digest:
-            raise ValueError("a payload differs from its digest")
-        return number("X-Page-ID"), fields["WARC-Target-URI"], payload, len(payload), digest, "response", None
-    return number("X-Page-ID"), fields["WARC-Target-URI"], None, number("X-Payload-Length"), digest, fields["WARC-Type"], number("X-Refers-To-Page-ID")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    fields = {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in lines) if colon}
+
+    def number(name: str) -> int | None:
+        value = fields.get(name, "")
+        return int(value) if re.fullmatch(r"-?[0-9]{1,19}", value) else None
+
+    kind, page, url = fields.get("warc-type", "").lower(), number("x-page-id"), fields.get("warc-target-uri", "")
+    size, said = number("content-length"), fields.get("warc-payload-digest", "")
+    body = rest[: size or 0]
+    if not whole or not first.startswith("WARC/") or not kind or size is None or not 0 <= size == len(body):
+        return page, url, None, None, None, "damaged", None
+    if kind == "revisit":
+        return page, url, None, number("x-payload-length"), said.removeprefix("sha1:") or None, kind, number("x-refers-to-page-id")
+    payload = body.partition(b"\r\n\r\n")[2] if "application/http" in fields.get("content-type", "").lower() else body
+    digest = base32_sha1(payload)
+    if said.lower().startswith("sha1:") and said[5:].upper() != digest:
+        return page, url, None, None, None, "damaged", None
+    return page, url, payload, len(payload), digest, kind, None
 
 
 def _read():
@@ -165,8 +200,8 @@ def _read():
         for batch in batches:
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 rows, size = [], 0
-                for data in Reader(path, start, end):
-                    rows.append(parse(data))
+                for data, whole in Reader(path, start, end):
+                    rows.append(parse(data, whole))
                     size += len(data)
                     if len(rows) == 500 or size > 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -178,8 +213,8 @@ def _read():
 
 
 def read(files: DataFrame, split: int = SPLIT) -> DataFrame:
-    """The records of archives (path, size): page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
-    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"), "size")
+    """The records of archives (path, size): page_id, url, payload (null for revisits and damaged ones), payload_bytes, payload_digest, record_type, refers_to."""
+    ranges = files.where("size > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"), "size")
     ranges = settle(ranges.select("path", "start", F.least(F.col("start") + split, "size").alias("end")))
     return ranges.repartition(max(1, ranges.count())).mapInArrow(_read(), READ_SCHEMA)
 
@@ -188,7 +223,9 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Per page, as read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
-    return read(write(pages, folder, least)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = settle(read(write(pages, folder, least)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove(pages.sparkSession, folder)
+    return out
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,21 @@ def test_query_rows(spark):
     assert byte_bpe.round_trip(df.limit(0)).count() == 0
     back = byte_bpe.decode(byte_bpe.encode(df)).collect()
     assert [r.decoded for r in back] == texts
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "some text", "v", 3, "x"), (2, None, "v", 3, "x")], "doc_id long, text string, `Value` string, value_ int, `a.b` string")
+    out = byte_bpe.decode(byte_bpe.encode(df))
+    assert out.columns == [*df.columns, "token_ids", "decoded"] and [tuple(r)[:5] for r in out.collect()] == [tuple(r) for r in df.collect()]
+    again = byte_bpe.encode(byte_bpe.encode(df), to="token_ids")
+    assert again.columns == [*df.columns, "token_ids"] and [r.token_ids for r in again.collect()] == [MODEL.encode("some text"), None]
+
+
+def test_query_equals_the_library(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = byte_bpe.op2_byte_bpe(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = LIBRARY.encode(docs[r.doc_id] or "", add_special_tokens=False).ids
+        said = LIBRARY.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())

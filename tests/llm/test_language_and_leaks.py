@@ -132,3 +132,87 @@ def test_the_dealing_of_items_changes_nothing(spark, monkeypatch, shard, size):
     found = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     got = sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in found)
     assert got == plain_leaks(docs, items) and len(got) > 15
+
+
+def plain_fusion(rows):
+    """(doc_id, text, lang, source) -> lang_id and posterior, one row after another. All rows are of the fitting sample."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    hosts = [re.match(r"(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]*)", (s or "").lower())[1] for *_, s in rows]
+    codes = [(re.match("[a-z]{2,3}", (g or "").lower()) or [""])[0] for _, _, g, _ in rows]
+    bags = [Counter(language.grams((t or "").encode()).tolist()) for _, t, _, _ in rows]
+    trained = Counter(c for c, (_, t, _, _) in zip(codes, rows) if c and len(t or "") >= 3)
+    langs = sorted(c for c, n in trained.items() if n >= 3)
+    weight = {c: defaultdict(lambda: 0.01) for c in langs}
+    for c, bag, (_, t, _, _) in zip(codes, bags, rows):
+        if c in weight and len(t or "") >= 3:
+            for g, n in bag.items():
+                weight[c][g] += n * 200 / sum(bag.values())
+    mass = {c: sum(w.values()) + 0.01 * (65536 - len(w)) for c, w in weight.items()}
+    names = [*langs, "und"]
+    each = lambda name, g: -math.log(65536) if name == "und" else math.log((weight[name][g] if g in weight[name] else 0.01) / mass[name])
+    fits = [{k: sum(n * each(k, g) for g, n in bag.items()) / (sum(bag.values()) + 200) * 200 for k in names} for bag in bags]
+    best = [max(names, key=lambda k: (f[k], -names.index(k))) for f in fits]
+    said = [c if c in langs else "other" if c else "" for c in codes]
+    tell = [bool(bag) for bag in bags]
+    only = lambda found: Counter(x for x, t in zip(found, tell) if t)
+    seen, spoke = only(zip(best, said)), only(best)
+    suffix = {h: (re.search(r"\.([a-z]{2,})$", h) or ["", ""])[1] for h in hosts}
+    of_host, of_suffix = only(zip(hosts, best)), only((suffix[h], b) for h, b in zip(hosts, best))
+    n_host, n_suffix = only(hosts), only(suffix[h] for h in hosts)
+    out = []
+    for h, s, f in zip(hosts, said, fits):
+        total = {}
+        for k in names:
+            whole = (spoke[k] + 1) / (sum(tell) + len(names))
+            wide = (of_suffix[suffix[h], k] + 50 * whole) / (n_suffix[suffix[h]] + 50)
+            total[k] = f[k] + math.log((of_host[h, k] + 20 * wide) / (n_host[h] + 20)) + math.log((seen[k, s] + 1) / (spoke[k] + len(langs) + 2))
+        top = max(total.values())
+        out.append((next(k for k in names if total[k] == top), 1 / sum(math.exp(x - top) for x in total.values())))
+    return out
+
+
+def test_query_equals_plain_fusion(spark):
+    small = SF.replace("0.01", "0.001")
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    want = {r[0]: w for r, w in zip(rows, plain_fusion(rows))}
+    got = {r.doc_id: (r.lang_id, r.posterior) for r in language.op1_language_id(spark, small).collect()}
+    assert got.keys() == want.keys()
+    for k, (lang, p) in want.items():
+        assert abs(got[k][1] - p) < 1e-3 and (got[k][0] == lang or abs(p - 0.5) < 1e-2), (k, got[k], lang, p)
+
+
+def test_hidden_declarations(spark):
+    """Rows whose declaration is hidden, from the model and as evidence, are named by text and host."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hidden = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = language.identify(docs, F.col("text"), F.when(~hidden, F.col("lang")), F.col("source")).collect()
+    true = {r.doc_id: r.lang for r in docs.where(hidden).collect()}
+    named = [(r.lang_id, true[r.doc_id]) for r in rows if r.doc_id in true]
+    assert len(named) > 150 and sum(a == b for a, b in named) / len(named) > 0.95
+
+
+def test_suffixes_and_hosts_decide_where_texts_do_not(spark):
+    rows = [(i, f"the cat and the dog went to the house number {i} " * 4, "en", f"https://a{i}.example.uk/x") for i in range(60)]
+    rows += [(100 + i, f"der hund und die katze gingen nach haus {i} " * 4, "de", f"https://user@b{i}.beispiel.de:80/x?y") for i in range(60)]
+    rows += [(200, "", None, "http://new.seite.de/"), (201, None, None, "http://new.page.uk"), (202, "", None, "a3.example.uk"), (203, "", "de", "http://other.page.uk")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.lang_id for r in language.identify_documents(df).collect()}
+    want = plain_fusion(rows)
+    assert [got[r[0]] for r in rows] == [w for w, _ in want] and (got[200], got[201], got[202], got[203]) == ("de", "en", "en", "de")
+
+
+def test_rows_that_share_ids_are_judged_by_themselves(spark):
+    good = [(i, "the cat and the dog went to the house " * 5, "en", "s", "r") for i in range(6)]
+    bad = [(3, "\x01\x02\x7f" * 99, None, None, "r"), (None, "\x01\x03\x7f" * 99, None, None, "r"), (None, "the cat and the dog " * 9, None, None, "r")]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string, rid string")
+    kept = language.keep_known(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([*good, bad[2]], key=str)
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "x", None, "clean words"), (2, "x", [1], "What is the tall tower of the old town called? The tower is named after its first mason.")], "doc_id long, item_id string, `a.b` array<int>, text string")
+    bench = spark.createDataFrame([(7, "What is the tall tower of the old town called? The tower is named after its first mason.")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.clean(df, bench).collect()] == [(1, "x", None, "clean words")]

@@ -52,6 +52,69 @@ def test_edges(spark):
     assert boosted_rules.judge(df.limit(0), labels).count() == pairwise_quality.rank(df.limit(0), labels).count() == 0
 
 
+def walk(trees, x):
+    """A row's score, one node after another."""
+    total = trees.base
+    for at in trees.roots.tolist():
+        while trees.left[at] != at:
+            at = trees.left[at] if x[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+        total += trees.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def labelled(spark, test=lambda d: True):
+    """Features and labels of the labelled documents, sorted, and all documents' statistics."""
+    docs = {r.doc_id: measure(r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = sorted((docs[d][1], y) for d, y in labels.items() if d in docs and y in (0, 1) and test(d))
+    return docs, np.array([f for f, _ in rows]), np.array([y for _, y in rows])
+
+
+def test_quality_rules_equal_plain_version(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs, x, y = labelled(spark)
+    trees = boosted_rules.fit(x, y, np.array([boosted_rules.MONOTONE.get(f, 0) for f in FEATURES]))
+    rows = boosted_rules.op8_quality_rules(spark, SF).collect()
+    assert len(rows) == len(docs) and 0 < sum(r.kept for r in rows) < len(rows)
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or "")
+        if len(words) < 2_000:
+            assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] == plain(texts[r.doc_id] or "")
+        p = walk(trees, docs[r.doc_id][1])
+        assert abs(p - r.quality_score) < 1e-9 and r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert r.kept == (not r.base_failed and r.quality_score >= boosted_rules.KEEP)
+
+
+def test_pairwise_ranking_equals_plain_version(spark):
+    """The weights are the minimum of the loss of the pairs, and the scores follow from them."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    docs, x, y = labelled(spark, lambda d: not held(d))
+    worth = pairwise_quality.Worth(x, y, pairwise_quality.PAIRS)
+    z = (np.hstack([x, np.sqrt(np.abs(x)), x == 0]) - worth.mean) / worth.scale
+    rng = np.random.default_rng(7)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = z[rng.choice(good, 20 * len(y))] - z[rng.choice(bad, 20 * len(y))]
+    slope = sum(-row / (1 + np.exp(row @ worth.weights)) for row in d) + worth.weights
+    assert np.abs(slope).max() < 1e-3
+    order = sorted(row @ worth.weights for row in z)
+    at = len(bad) / len(y) * (len(order) - 1)
+    cut = order[int(at)] + (at - int(at)) * (order[min(int(at) + 1, len(order) - 1)] - order[int(at)])
+    for r in pairwise_quality.op10_pairwise_quality(spark, SF).collect():
+        f = np.array(docs[r.doc_id][1])
+        above = ((np.concatenate([f, np.sqrt(np.abs(f)), f == 0]) - worth.mean) / worth.scale) @ worth.weights - cut
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(above + np.log(3 / 7), -30, 30)))) < 1e-9 and r.held_out == held(r.doc_id) and r.predicted == (r.score >= 0.3)
+
+
+def test_rules_on_held_out_labels(spark):
+    """The trees' verdict on labels that they were not fitted on."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = "crc32(cast(doc_id as string)) % 5 = 0"
+    true = {r.doc_id: r.quality for r in labels.where(held).collect()}
+    rows = boosted_rules.judge(spark.read.parquet(f"{SF}/documents.parquet"), labels.where(f"not ({held})")).collect()
+    judged = [(r.quality_score >= boosted_rules.KEEP, true[r.doc_id] == 1) for r in rows if r.doc_id in true]
+    assert len(judged) > 50 and sum(a == b for a, b in judged) / len(judged) > 0.9
+
+
 def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = pairwise_quality.op10_pairwise_quality(spark, SF).collect()

@@ -66,5 +66,13 @@ def test_edges(spark):
     want = sorted(zip(ids, (f"{plain(t):016x}" for t in texts), classes(ids, [plain(t) for t in texts])), key=str)
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in rows), key=str) == want
     assert simhash.group(df.limit(0)).count() == 0
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "8", "8", "None", "None"]
+
+
+def test_ids_that_texts_share(spark):
+    """Only fingerprints link: of (7, A), (7, B), (3, B) A is a component of its own. Ids as large as they get."""
+    rng = np.random.default_rng(0)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 999, 80)) for _ in range(3)]
+    rows = [(7, text[0]), (7, text[1]), (3, text[1]), (2**62 + 5, text[2]), (2**63 - 1, text[2]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.group(df).collect()), key=str)
+    assert got == sorted([(7, 7), (7, 3), (3, 3), (2**62 + 5, 2**62 + 5), (2**63 - 1, 2**62 + 5), (None, None)], key=str)

@@ -1,5 +1,6 @@
 """Archives by round trip and odd splits; personal data against the re module."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -135,3 +136,36 @@ def test_warc_edges(spark, tmp_path, split):
     assert got == sorted([(1, 1, "response", None), (2, 0, "response", None), (3, 0, "revisit", 2), (None, 1, "revisit", 1), (4, 100_000, "response", None), (4, 100_000, "response", None), (0, 10, "response", None), (None, 6, "response", None)], key=str)
     assert {bytes(r.payload).decode() for r in rows if r.record_type == "response"} == {"x", "", "é" * 50_000, "lone \x1f\r\n\r\n", "nobody"}
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def member(*head, body=b"", kind="response"):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", *head, f"Content-Length: {len(body)}"]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
+
+
+@pytest.mark.parametrize("split", [61, 1 << 20])
+def test_foreign_and_damaged_archives(spark, tmp_path, split):
+    """Other types of records, fields in other cases, damaged and cut members: the others are read, each once."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    digest = "sha1:" + warc.base32_sha1(b"hello")
+    good = member("warc-target-uri:http://h/1", f"WARC-PAYLOAD-DIGEST:  {digest}", "content-type: application/http; msgtype=response", body=http + b"hello")
+    wrong = member("WARC-Target-URI: http://h/2", f"WARC-Payload-Digest: {digest}", "Content-Type: application/http", body=http + b"hullo")
+    big = member("WARC-Target-URI: http://h/3", "Content-Type: application/http", body=http + random.Random(1).randbytes(4000))
+    broken = bytearray(big)
+    broken[len(big) // 2 : len(big) // 2 + 40] = b"\xff" * 40
+    parts = [member(kind="warcinfo", body=b"software: x\r\n"), good, wrong, bytes(broken), b"no member at all", member("Content-Type: text/dns", kind="resource", body=b"dns"), good, big[: len(big) // 3]]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    files = spark.createDataFrame([(f"file://{tmp_path}/{n}", (tmp_path / n).stat().st_size) for n in ("a.warc.gz", "empty.warc.gz")], "path string, size long")
+    rows = warc.read(files, split).collect()
+    got = sorted((r.record_type, r.url, None if r.payload is None else bytes(r.payload)) for r in rows)
+    assert [g for g in got if g[0] != "damaged"] == [("resource", "", b"dns"), *[("response", "http://h/1", b"hello")] * 2, ("warcinfo", "", b"software: x\r\n")]
+    assert [g[1:] for g in got if g[0] == "damaged"] == [("http://h/2", None), ("http://h/3", None), ("http://h/3", None)]
+    assert all(r.page_id is None and r.refers_to is None for r in rows) and {r.payload_digest for r in rows if r.url == "http://h/1"} == {digest[5:]}
+
+
+def test_many_payloads(spark, monkeypatch):
+    """Beyond FIRSTS payloads that occur twice the join is shuffled: the same rows."""
+    rows = sorted(map(tuple, warc.op6_warc(spark, SF).collect()), key=str)
+    monkeypatch.setattr(warc, "FIRSTS", 0)
+    assert sorted(map(tuple, warc.op6_warc(spark, SF).collect()), key=str) == rows
