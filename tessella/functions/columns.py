@@ -59,6 +59,59 @@ def minus_spans(start: Column, end: Column, spans: Column) -> Column:
     return F.aggregate(spans, first, step, lambda s: F.concat(s["out"], F.when(s["at"] < end, F.array(F.struct(s["at"].alias("byte_start"), end.alias("byte_end")))).otherwise(F.array().cast(kind))))
 
 
+def render_spans(start: Column, end: Column, kind: Column, hidden: Column, size: Column) -> Column:
+    """What is shown of a span, clamped to the text's bytes: a code span without the comments that follow code on their lines (sorted spans a, b), any other as it is; nothing of an empty one."""
+    low, high = (F.greatest(F.lit(0), F.least(x, size)).cast("bigint") for x in (start, end))
+    whole = F.array(F.struct(low.alias("byte_start"), high.alias("byte_end")))
+    none = F.array().cast("array<struct<byte_start: bigint, byte_end: bigint>>")
+    return F.when(high <= low, none).when(kind == "code", minus_spans(low, high, hidden)).otherwise(whole)
+
+
+def dice(matched: Column, left: Column, right: Column) -> Column:
+    """Shared tokens of both sides' tokens; 0 if there are none."""
+    return F.when(left + right > 0, 2.0 * matched / (left + right)).otherwise(F.lit(0.0))
+
+
+def fixed_percent(share: Column) -> Column:
+    """A share as a percentage with one digit behind the point, rounded by the number's exact binary value, halves up; N/A for null. 20 * x is an odd whole number where x is a half: the error of the product
+    tells on which side of it x lies."""
+    x = share.cast("double") * 100
+    high, low = 16.0 * x, 4.0 * x
+    total = high + low
+    back = total - high
+    error = (high - (total - back)) + (low - back)
+    tenths = F.floor(total / 2 + 0.5) - F.when((total / 2 + 0.5 == F.floor(total / 2 + 0.5)) & (error < 0), 1).otherwise(0)
+    size = F.abs(tenths)
+    return F.when(share.isNull(), "N/A").otherwise(F.concat(F.when(tenths < 0, "-").otherwise(""), F.floor(size / 10).cast("string"), F.lit("."), F.pmod(size, F.lit(10)).cast("string"), F.lit("%")))
+
+
+#: Degrees between the hues of matches that follow each other, and the colours' saturation and lightness.
+GOLDEN_ANGLE, SATURATION, LIGHTNESS = 137.508, 0.72, 0.52
+
+
+def match_colour(index: Column) -> Column:
+    """#rrggbb of the match with a number."""
+    hue = F.floor(F.pmod(index * F.lit(GOLDEN_ANGLE), F.lit(360.0)) + 0.5)
+    spread = SATURATION * min(LIGHTNESS, 1 - LIGHTNESS)
+
+    def channel(turn: int) -> Column:
+        k = F.pmod(hue / 30 + turn, F.lit(12.0))
+        value = LIGHTNESS - spread * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))
+        return F.lpad(F.lower(F.hex(F.floor(value * 255 + 0.5).cast("long"))), 2, "0")
+
+    return F.concat(F.lit("#"), channel(0), channel(8), channel(4))
+
+
+def public_anonymous(purpose: Column, uploader: Column) -> Column:
+    """Whether a batch was handed in by a student without an account."""
+    return (F.upper(purpose) == "STUDENT_SUBMISSION") & uploader.isNull()
+
+
+def reveal_mode(identity: Column, purpose: Column, uploader: Column) -> Column:
+    """How a submitter can be named: by the encrypted identity, by the display name of an anonymous batch, or not at all."""
+    return F.when(F.coalesce(identity, F.lit("")) != "", "encrypted").when(identity.isNull() & public_anonymous(purpose, uploader), "display_name")
+
+
 #: What users are told, by the message of the failure.
 UPLOAD_MESSAGES = (
     ("failed to read zip archive:%", "We couldn't read that zip archive. Please upload a valid zip file."),

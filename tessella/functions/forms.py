@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The fields and the form of an encrypted identity.
 PAYLOAD = "v int, studentName string, studentNumber string, assignmentKey string, studentEmail string"
 IDENTITY = r"^sidenc:v1:([a-zA-Z0-9._-]+):([a-zA-Z0-9_-]+)$"
 

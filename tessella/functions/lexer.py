@@ -8,8 +8,11 @@ a grammar can tell, such as a type in a cast, are IDs here.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+
 LITERALS = {"java": ("STR", "CHAR"), "c": ("STR_LIT", "CHAR_LIT"), "cpp": ("STR_LIT", "CHAR_LIT")}
 #: The reserved words of the languages.
 JAVA_WORDS = frozenset("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null".split())
@@ -75,14 +78,21 @@ def _statements(source: str) -> list[tuple[int, int]]:
     return [m.span(1) for m in re.finditer(r"(?:^|(?<=[;}\n]))\s*((?:package|import)\b[^;{}]*;)", source)]
 
 
+def byte_places(source: str) -> Callable[[int], int]:
+    """The byte at which the character with a number begins; worked out once for all of them."""
+    if source.isascii():
+        return lambda i: i
+    points = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    return np.concatenate([[0], np.cumsum(size)]).tolist().__getitem__
+
+
 def lex(source: str, language: str, boundaries: tuple[int, ...] = ()) -> Parsed:
     """Tokens and comments; boundaries: the first bytes of the second and later files, each of which is a unit of its own."""
     if language == "prose":
         return _prose(source)
     skipped = _statements(source) if language == "java" else _directives(source)
-    # Where a byte stands that follows the characters so far.
-    wide = not source.isascii()
-    byte = (lambda i: len(source[:i].encode())) if wide else (lambda i: i)
+    byte = byte_places(source)
     raw: list[tuple[str, str, int, int]] = []
     comments: list[tuple[str, int, int]] = []
     jumps: list[tuple[int, int]] = []
@@ -98,6 +108,7 @@ def lex(source: str, language: str, boundaries: tuple[int, ...] = ()) -> Parsed:
             jumps.append((begin, max(1, sum(x.lastgroup != "comment" for x in LEXEME.finditer(source, begin, end)))))
         at = end
     tokens: list[Token] = []
+    in_record = _records(raw) if language != "java" else []
     unit, jump, edge = 0, 0, 0
     for k, (kind, text, a, b) in enumerate(raw):
         if language != "java" and kind == "str" and k and raw[k - 1][0] == "str":
@@ -110,12 +121,12 @@ def lex(source: str, language: str, boundaries: tuple[int, ...] = ()) -> Parsed:
         while edge < len(boundaries) and boundaries[edge] <= start:
             unit += 1
             edge += 1
-        tokens.append(Token(_norm(raw, k, language), start, byte(b), unit))
+        tokens.append(Token(_norm(raw, k, language, in_record), start, byte(b), unit))
         unit += 1
     return Parsed(tokens, [(t, byte(a), byte(b)) for t, a, b in comments])
 
 
-def _norm(raw: list[tuple[str, str, int, int]], k: int, language: str) -> str:
+def _norm(raw: list[tuple[str, str, int, int]], k: int, language: str, in_record: list[bool]) -> str:
     kind, text = raw[k][:2]
     if kind == "str":
         return LITERALS[language][0]
@@ -145,20 +156,21 @@ def _norm(raw: list[tuple[str, str, int, int]], k: int, language: str) -> str:
         return "TYPE_ID"
     if before == "::" and after[0] == "name" or before == "}" and after[1] == ";" and any(x[1] == "typedef" for x in raw[max(0, k - 64) : k]):
         return "TYPE_ID"
-    if after[1] in (";", ",", "[", "=") and _in_record(raw, k):
+    if after[1] in (";", ",", "[", "=") and in_record[k]:
         return "FIELD_ID"
     return "ID"
 
 
-def _in_record(raw: list[tuple[str, str, int, int]], k: int) -> bool:
-    """Whether the innermost open brace belongs to a struct, class or union."""
-    depth = 0
-    for i in range(k - 1, -1, -1):
-        text = raw[i][1]
-        depth += (text == "}") - (text == "{")
-        if depth < 0:
-            return any(x[1] in ("struct", "class", "union") for x in raw[max(0, i - 2) : i])
-    return False
+def _records(raw: list[tuple[str, str, int, int]]) -> list[bool]:
+    """Of each token, whether the innermost brace that is open before it belongs to a struct, class or union."""
+    out, open_braces = [], []
+    for k, (_, text, _, _) in enumerate(raw):
+        out.append(bool(open_braces) and open_braces[-1])
+        if text == "{":
+            open_braces.append(any(x[1] in ("struct", "class", "union") for x in raw[max(0, k - 2) : k]))
+        elif text == "}" and open_braces:
+            open_braces.pop()
+    return out
 
 
 def _prose(source: str) -> Parsed:
@@ -177,8 +189,7 @@ def normalize_comment(text: str) -> str:
 def trailing_comments(source: str) -> list[tuple[int, int]]:
     """Byte spans of comments that follow code on their line; a line comment takes its newline along. Strings and characters end at the line's end at the latest."""
     spans, code, at = [], False, 0
-    wide = not source.isascii()
-    byte = (lambda i: len(source[:i].encode())) if wide else (lambda i: i)
+    byte = byte_places(source)
     piece = re.compile(r"""//[^\n]*\n?|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*(?:"|\n|\Z)|'(?:\\.|[^'\\\n])*(?:'|\n|\Z)|\n|\s|.""", re.S)
     for m in piece.finditer(source, at):
         text = m[0]

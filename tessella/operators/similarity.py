@@ -15,7 +15,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -138,6 +138,39 @@ def candidates(tokens: DataFrame) -> DataFrame:
     return joined.select(F.concat_ws("__", "submission_id", "r_submission_id").alias("pair_id"), F.col("submission_id").alias("left_id"), F.col("r_submission_id").alias("right_id")).distinct()
 
 
+def occurrences(comments: DataFrame, order: list[str], floor: int = Params.comment_floor) -> DataFrame:
+    """comments(submission_id, normal, ...) of `floor` bytes or more with their rank k among equal ones of the submission."""
+    return comments.where(F.octet_length("normal") >= floor).withColumn("k", F.row_number().over(Window.partitionBy("submission_id", "normal").orderBy(*order)))
+
+
+def comment_pairs(ranked: DataFrame, *kept: str) -> DataFrame:
+    """The matches of equal comments between the submissions of allowed pairs: the first with the first, the second with the second, so that repeats do not multiply. ranked: assignment_id, submission_id, kind, ord, normal, k and
+    what else is kept of both sides (left_..., right_...)."""
+    r = ranked.select(*(F.col(c).alias(f"r_{c}") for c in ranked.columns))
+    same = (F.col("assignment_id") == F.col("r_assignment_id")) & (F.col("normal") == F.col("r_normal")) & (F.col("k") == F.col("r_k"))
+    joined = ranked.join(r, same & F.expr(ALLOWED))
+    return joined.select(F.col("submission_id").alias("left_id"), F.col("r_submission_id").alias("right_id"), *(F.col(c).alias(f"left_{c}") for c in kept), *(F.col(f"r_{c}").alias(f"right_{c}") for c in kept))
+
+
+def without_template(ranked: DataFrame, template: DataFrame) -> DataFrame:
+    """ranked comments without those of a template(normal), as often as it has them."""
+    counts = template.groupBy("normal").agg(F.count("*").alias("_n"))
+    return ranked.join(counts, "normal", "left").where(F.col("k") > F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def line_starts(source: str) -> list[int]:
+    """The bytes at which the lines of a text begin."""
+    return [0, *(np.flatnonzero(np.frombuffer(source.encode(), np.uint8) == 10) + 1).tolist()]
+
+
+def located(lines: list[int], files: list[dict], start: int, end: int) -> dict:
+    """The file and the lines and columns (from 1, in bytes) of the span [start, end); the end is that of its last byte. A span that no file holds whole has none."""
+    last = max(end - 1, start)
+    a, b = bisect_right(lines, start), bisect_right(lines, last)
+    file = next((f["file_path"] for f in files if f["byte_start"] <= start and end <= f["byte_end"]), None)
+    return {"byte_start": start, "byte_end": end, "file_path": file, "line_start": a, "column_start": start - lines[a - 1] + 1, "line_end": b, "column_end": last - lines[b - 1] + 1}
+
+
 class _Prepared:
     """One side of comparisons; what they need of it is worked out once."""
 
@@ -146,17 +179,13 @@ class _Prepared:
         self.side = tiling.Side(row["tokens"], row["units"], row["mask"])
         self.active = self.side.active
         self.grams = tiling.Grams(row["tokens"], row["mask"], params.gst_min_match_length)
-        data = np.frombuffer((row["source"] or "").encode(), np.uint8)
-        self.lines = [0, *(np.flatnonzero(data == 10) + 1).tolist()]
+        self.lines = line_starts(row["source"] or "")
         self.said: dict[str, list[int]] = {}
         for k, n in long_comments(self.comments, max(params.minimum_comment_length, params.comment_floor)):
             self.said.setdefault(n, []).append(k)
 
     def span(self, start: int, end: int, tokens: tuple[int, int]) -> dict:
-        last = max(end - 1, start)
-        a, b = bisect_right(self.lines, start), bisect_right(self.lines, last)
-        file = next((f["file_path"] for f in self.files if f["byte_start"] <= start and end <= f["byte_end"]), None)
-        return {"byte_start": start, "byte_end": end, "file_path": file, "line_start": a, "column_start": start - self.lines[a - 1] + 1, "line_end": b, "column_end": last - self.lines[b - 1] + 1, "token_start": tokens[0], "token_end": tokens[1]}
+        return located(self.lines, self.files, start, end) | {"token_start": tokens[0], "token_end": tokens[1]}
 
     def code(self, a: int, b: int) -> dict:
         return self.span(self.starts[a], self.ends[b], (a, b))
@@ -197,12 +226,14 @@ def compare(left: _Prepared, right: _Prepared, params: Params = Params()) -> tup
 
 
 def sided(pairs: DataFrame, tokens: DataFrame, *columns: str) -> DataFrame:
-    """pairs with both sides as structs. Dealt by right_id, which no assignment has in more pairs than it has submissions, to the session's number of
+    """pairs with both sides as structs; a side that is missing is an error. Dealt by right_id, which no assignment has in more pairs than it has submissions, to the session's number of
     partitions: comparing is work for the processor, so partitions of few bytes are not put together."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     l = tokens.select(F.col("submission_id").alias("left_id"), F.struct(*columns).alias("left"))
     r = tokens.select(F.col("submission_id").alias("right_id"), F.struct(*columns).alias("right"))
-    return pairs.join(l, "left_id").repartition(n, "right_id").join(r, "right_id").select("pair_id", "left_id", "right_id", "left", "right")
+    both = pairs.join(l, "left_id", "left").repartition(n, "right_id").join(r, "right_id", "left")
+    known = lambda side: F.when(F.col(side).isNull(), F.raise_error(F.concat(F.lit(f"unknown {side} submission "), F.coalesce(f"{side}_id", F.lit("")))).cast(both.schema[side].dataType)).otherwise(F.col(side)).alias(side)
+    return both.select("pair_id", "left_id", "right_id", known("left"), known("right"))
 
 
 def compared(pairs: DataFrame, tokens: DataFrame, params: Params = Params()) -> DataFrame:
@@ -221,13 +252,18 @@ def compared(pairs: DataFrame, tokens: DataFrame, params: Params = Params()) ->
     return sided(pairs, tokens, "tokens", "units", "starts", "ends", "comments", "mask", "source", "source_map").mapInArrow(run, schema)
 
 
+def bad_maps(submissions: DataFrame) -> DataFrame:
+    """Source maps with an entry without a path, one that ends before it begins or beyond the source, or two that overlap."""
+    entry = "f.byte_start > f.byte_end or f.byte_start < 0 or f.byte_end > octet_length(source) or coalesce(trim(f.file_path), '') = ''"
+    bad = F.expr(f"exists(source_map, f -> {entry}) or exists(transform(source_map, (f, i) -> i > 0 and f.byte_start < source_map[greatest(i - 1, 0)].byte_end), x -> x)")
+    return submissions.where(bad).select(F.concat(F.lit("invalid source_map: "), "submission_id").alias("problem"))
+
+
 def problems(submissions: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """What makes a request invalid, a row each; empty if it is valid."""
     blank = submissions.where(F.coalesce(F.trim("submission_id"), F.lit("")) == "").select(F.lit("submission_id must not be blank").alias("problem"))
     twice = submissions.groupBy("submission_id").count().where("count > 1").select(F.concat(F.lit("duplicate submission_id: "), "submission_id").alias("problem"))
-    bad = F.expr("exists(source_map, f -> f.byte_start > f.byte_end or f.byte_end > octet_length(source)) or exists(sequence(1, greatest(size(source_map) - 1, 1)), i -> size(source_map) > 1 and i < size(source_map) and source_map[i].byte_start < source_map[i - 1].byte_end)")
-    maps = submissions.where(bad).select(F.concat(F.lit("invalid source_map: "), "submission_id").alias("problem"))
-    out = blank.unionAll(twice).unionAll(maps)
+    out = blank.unionAll(twice).unionAll(bad_maps(submissions))
     if pairs is not None:
         ids = submissions.select("submission_id")
         ends = pairs.select("pair_id", F.explode(F.array("left_id", "right_id")).alias("submission_id"))
@@ -237,7 +273,8 @@ def problems(submissions: DataFrame, pairs: DataFrame | None = None) -> DataFram
 
 
 def analyze(submissions: DataFrame, templates: DataFrame | None = None, params: Params = Params(), zero_pairs: bool = True) -> DataFrame:
-    """Results of all allowed pairs. templates: (assignment_id, language, source, source_map)."""
+    """Results of all allowed pairs, or, without zero_pairs, of those that share anything. templates: (assignment_id, language, source, source_map). The tokens stay persisted for the result's
+    readers; catalog.clearCache() lets go of them."""
     tokens = prepared(submissions, templates, params).persist()
     found = compared(candidates(tokens), tokens, params)
     if not zero_pairs:
@@ -261,3 +298,18 @@ def tiles(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] + [pa.int32()] * 4)], names=["pair_id", "seq", "left_start", "right_start", "length"])
 
     return sided(pairs, tokens, "tokens", "mask", "source").mapInArrow(run, "pair_id string, seq int, left_start int, right_start int, length int")
+
+
+def runs(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
+    """The maximal equal stretches of each pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = _Sides(lambda row: tiling.Grams(row["tokens"], row["mask"], least), HELD)
+        for batch in batches:
+            rows = []
+            for k, (pair, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pair_id", "left_id", "right_id")))):
+                rows += [(pair, *t) for t in tiling.maximal_runs(sides.get(left, batch.column("left"), k), sides.get(right, batch.column("right"), k))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] + [pa.int32()] * 3)], names=["pair_id", "left_start", "right_start", "length"])
+
+    return sided(pairs, tokens, "tokens", "mask", "source").mapInArrow(run, "pair_id string, left_start int, right_start int, length int")

@@ -7,26 +7,13 @@ from pyspark.sql import functions as F
 
 from tessella.config import Params
 from tessella.operators import similarity
-from tessella.plans import relational
-
-
-def prose_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select(
-        F.col("doc_id").cast("string").alias("submission_id"), F.col("source").alias("assignment_id"), F.when(F.col("doc_id") % 5 == 0, "historical").otherwise("current").alias("kind"),
-        F.col("doc_id").alias("ord"), F.lit("prose").alias("language"), F.col("text").alias("source"), F.lit(None).cast(similarity.SOURCE_MAP).alias("source_map"),
-    )
-
-
-def prose_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's items as one template of each assignment: instructors' material, so a small table."""
-    text = spark.read.parquet(f"{sf_dir}/benchmark.parquet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), "\n").alias("source"))
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("assignment_id")).distinct()
-    return ids.crossJoin(text).select("assignment_id", F.lit("prose").alias("language"), "source", F.lit(None).cast(similarity.SOURCE_MAP).alias("source_map"))
+from tessella.plans import relational, review
+from tessella.plans.inputs import prose_submissions, prose_templates
 
 
 def tokens(spark: SparkSession, sf_dir: str, template: bool = True) -> DataFrame:
-    return similarity.prepared(prose_submissions(spark, sf_dir), prose_templates(spark, sf_dir) if template else None).persist()
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return similarity.prepared(prose_submissions(table("documents")), prose_templates(table("benchmark")) if template else None).persist()
 
 
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +37,5 @@ def gst_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.tiles(similarity.candidates(t), t, Params().gst_min_match_length)
 
 
-QUERIES = {"pair_similarity": pair_similarity, "template_mask": template_mask, "cluster_regions": cluster_regions, "gst_tiles": gst_tiles, **relational.QUERIES}
-SQL = dict(relational.SQL)
+QUERIES = {"pair_similarity": pair_similarity, "template_mask": template_mask, "cluster_regions": cluster_regions, "gst_tiles": gst_tiles, **relational.QUERIES, **review.QUERIES}
+SQL = relational.SQL | review.SQL

@@ -1,7 +1,7 @@
 """Relational operators of the review platform as DataFrame plans over the driver's tables, each with the same in SQL.
 
-Documents stand for submissions: source is the assignment, each fifth doc_id is historical. Conversations stand for comments, orders
-and lineitem for runs and pairs.
+Documents stand for submissions (plans/inputs.py), their lines and conversations for comments, orders and lineitem for runs and pairs. The queries call the library's operators; the SQL
+is written out.
 """
 
 from __future__ import annotations
@@ -11,11 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import tiling
+from tessella.operators import similarity, state
+from tessella.operators.rows import before, per_row
+from tessella.plans.inputs import KIND_SQL, kind, prose_submissions
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(sql: str):
+    """Registers f(t), in which t(name) is a table, with its SQL."""
+
     def add(f):
         QUERIES[f.__name__] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
         SQL[f.__name__] = sql
@@ -24,11 +31,11 @@ def query(sql: str):
     return add
 
 
-SUBS = "s AS (SELECT doc_id, source, text, CASE WHEN doc_id % 5 = 0 THEN 'historical' ELSE 'current' END AS kind FROM documents)"
+SUBS = f"s AS (SELECT doc_id, source, text, {KIND_SQL} AS kind FROM documents)"
 
 
 def subs(t) -> DataFrame:
-    return t("documents").select("doc_id", "source", "text", F.when(F.col("doc_id") % 5 == 0, "historical").otherwise("current").alias("kind"))
+    return t("documents").select("doc_id", "source", "text", kind().alias("kind"))
 
 
 def _pairs(t, kind: str) -> DataFrame:
@@ -59,9 +66,9 @@ def allowed_pairs_union(t):
   CAST(sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS byte_end, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS canonical_order
 FROM (SELECT doc_id, source, strlen(text) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END AS n FROM documents)""")
 def concat_offsets(t):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = t("documents").select("doc_id", "source", (F.octet_length("text") + F.when(F.endswith("text", F.lit("\n")), 0).otherwise(1)).cast("long").alias("n"))
-    return d.select("doc_id", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("byte_start"), F.sum("n").over(w).alias("byte_end"), (F.row_number().over(w) - 1).cast("long").alias("canonical_order"))
+    n = (F.octet_length("text") + F.when(F.endswith("text", F.lit("\n")), 0).otherwise(1)).cast("long")
+    d = before(t("documents").select("doc_id", "source", n.alias("n")), ["source"], ["doc_id"], byte_start=F.col("n"), canonical_order=F.lit(1).cast("long"))
+    return d.select("doc_id", "byte_start", (F.col("byte_start") + F.col("n")).alias("byte_end"), "canonical_order")
 
 
 NORMAL = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -76,104 +83,134 @@ def comment_normalize(t):
     return t("conversations").select("conv_id", "turn", normal().alias("normal"), F.octet_length(normal()).cast("long").alias("n_bytes"))
 
 
-def _occurrences(t) -> DataFrame:
-    """Comments of 35 bytes or more with their rank among equal ones of the submission."""
-    c = t("conversations").select("conv_id", "turn", normal().alias("normal")).where(F.octet_length("normal") >= 35)
-    return c.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "normal").orderBy("turn")))
+OCC = f"""c AS (SELECT conv_id, turn, normal, row_number() OVER (PARTITION BY conv_id, normal ORDER BY turn) AS k
+  FROM (SELECT conv_id, turn, {NORMAL} AS normal FROM conversations) WHERE strlen(normal) >= 35)"""
+LINE_NORMAL = NORMAL.replace("lower(text)", "lower(line)")
 
 
-OCC = f"c AS (SELECT conv_id, turn, normal, row_number() OVER (PARTITION BY conv_id, normal ORDER BY turn) AS k FROM (SELECT conv_id, turn, {NORMAL} AS normal FROM conversations) WHERE strlen(normal) >= 35)"
+def lines(t) -> DataFrame:
+    """The lines of documents as comments."""
+    return subs(t).select("doc_id", "source", "kind", F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
 
-@query(f"WITH {OCC} SELECT l.conv_id AS left_id, r.conv_id AS right_id, l.turn AS left_turn, r.turn AS right_turn FROM c l JOIN c r ON l.normal = r.normal AND l.k = r.k AND l.conv_id % 20 = r.conv_id % 20 AND l.conv_id < r.conv_id")
+@query(f"""WITH l AS (SELECT doc_id, source, {KIND_SQL} AS kind, unnest(range(0, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
+c AS (SELECT doc_id, source, kind, n, normal, row_number() OVER (PARTITION BY doc_id, normal ORDER BY n) AS k FROM (SELECT *, {LINE_NORMAL} AS normal FROM l) WHERE strlen(normal) >= 35)
+SELECT a.doc_id AS left_id, b.doc_id AS right_id, CAST(a.n AS BIGINT) AS left_line, CAST(b.n AS BIGINT) AS right_line
+FROM c a JOIN c b ON a.source = b.source AND a.normal = b.normal AND a.k = b.k WHERE a.kind = 'current' AND (b.kind = 'historical' OR a.doc_id < b.doc_id)""")
 def comment_zip_join(t):
-    """Over all pairs of conversations. The SQL holds it to those of equal conv_id % 20, so it agrees only where no other pair shares a comment."""
-    c = _occurrences(t)
-    r = c.select("normal", "k", F.col("conv_id").alias("right_id"), F.col("turn").alias("right_turn"))
-    return c.join(r, ["normal", "k"]).where("conv_id < right_id").select(F.col("conv_id").alias("left_id"), "right_id", F.col("turn").alias("left_turn"), "right_turn")
+    said = lines(t).select(F.col("doc_id").alias("submission_id"), F.col("source").alias("assignment_id"), "kind", F.col("doc_id").alias("ord"), F.col("n").cast("long").alias("line"), normal("line").alias("normal"))
+    return similarity.comment_pairs(similarity.occurrences(said, ["line"]), "line")
 
 
-@query(f"WITH {OCC}, t AS (SELECT normal, count(*) AS n FROM c WHERE conv_id % 10 = 0 GROUP BY normal) SELECT conv_id, turn FROM c LEFT JOIN t ON c.normal = t.normal WHERE conv_id % 10 <> 0 AND k > coalesce(n, 0)")
+@query(f"""WITH {OCC}, t AS (SELECT normal, count(*) AS n FROM c WHERE conv_id % 10 = 0 GROUP BY normal)
+SELECT conv_id, turn FROM c LEFT JOIN t ON c.normal = t.normal WHERE conv_id % 10 <> 0 AND k > coalesce(n, 0)""")
 def template_comment_antijoin(t):
-    c = _occurrences(t)
-    counts = c.where("conv_id % 10 = 0").groupBy("normal").agg(F.count("*").alias("n"))
-    return c.where("conv_id % 10 <> 0").join(counts, "normal", "left").where(F.col("k") > F.coalesce("n", F.lit(0))).select("conv_id", "turn")
+    """Each tenth conversation is of the template."""
+    said = similarity.occurrences(t("conversations").select(F.col("conv_id").alias("submission_id"), "turn", normal().alias("normal")), ["turn"])
+    left = similarity.without_template(said.where("submission_id % 10 <> 0"), said.where("submission_id % 10 = 0"))
+    return left.select(F.col("submission_id").alias("conv_id"), "turn")
 
 
 @query("""WITH p AS (SELECT page_id, strlen(html) AS n FROM pages), f AS (SELECT page_id, CAST(unnest(range(0, n, 700)) AS BIGINT) AS a FROM p), q AS (SELECT page_id, CAST(unnest(range(0, n - 200, 300)) AS BIGINT) AS bs FROM p)
 SELECT q.page_id, bs, 'part-' || (a // 700) AS file_path FROM q LEFT JOIN f ON q.page_id = f.page_id AND a <= bs AND bs + 150 <= a + 700""")
 def span_to_file(t):
-    p = t("pages").select("page_id", F.octet_length("html").alias("n"))
-    p = p.withColumn("files", F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(700)), lambda a: F.struct(F.concat(F.lit("part-"), (a / 700).cast("int")).alias("path"), a.alias("a"), (a + 700).alias("b"))))
-    spans = p.where("n > 200").select("page_id", "files", F.explode(F.sequence(F.lit(0), F.col("n") - 201, F.lit(300))).alias("bs"))
-    return spans.select("page_id", F.col("bs").cast("long").alias("bs"), F.get(F.filter("files", lambda f: (f["a"] <= F.col("bs")) & (F.col("bs") + 150 <= f["b"])), F.lit(0))["path"].alias("file_path"))
+    p = t("pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.octet_length("html").alias("n")).where("n > 200")
+    files = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(700)), lambda a: F.struct(F.concat(F.lit("part-"), (a / 700).cast("int")).alias("file_path"), a.alias("byte_start"), (a + 700).alias("byte_end")))
+    p = p.withColumn("files", files).withColumn("starts", F.sequence(F.lit(0), F.col("n") - 201, F.lit(300)))
+
+    def found(html, files, starts):
+        at = similarity.line_starts(html)
+        return [{"bs": a, "file_path": similarity.located(at, files, a, a + 150)["file_path"]} for a in starts]
 
+    return per_row(p, ["html", "files", "starts"], "found array<struct<bs: bigint, file_path: string>>", found).select("page_id", F.inline("found"))
 
-@query("""SELECT doc_id, CAST(strlen(p) AS BIGINT) AS byte_offset, CAST(1 + length(p) - length(replace(p, chr(10), '')) AS BIGINT) AS line, CAST(1 + strlen(CASE WHEN strpos(p, chr(10)) = 0 THEN p ELSE regexp_extract(p, '[^\\n]*$') END) AS BIGINT) AS col
-FROM (SELECT doc_id, substr(text, 1, length(text) // 2) AS p FROM documents)""")
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents), p AS (SELECT doc_id, substr(text, 1, n // 4) AS a, substr(text, 1, 3 * n // 4) AS b FROM d WHERE n >= 4),
+q AS (SELECT *, substr(b, 1, length(b) - 1) AS c, strlen(a) AS byte_start, strlen(b) AS byte_end FROM p),
+r AS (SELECT *, strlen(a) - strlen(regexp_extract(a, '[^\n]*$')) AS line_a, strlen(c) - strlen(regexp_extract(c, '[^\n]*$')) AS line_c FROM q)
+SELECT doc_id, byte_start, byte_end, CAST(length(a) - length(replace(a, chr(10), '')) + 1 AS BIGINT) AS line_start, byte_start - line_a + 1 AS column_start,
+  CAST(length(c) - length(replace(c, chr(10), '')) + 1 AS BIGINT) AS line_end, byte_end - line_c AS column_end FROM r""")
 def byte_to_line(t):
-    p = F.expr("substr(text, 1, length(text) div 2)")
-    d = t("documents").select("doc_id", p.alias("p"))
-    return d.select("doc_id", F.octet_length("p").cast("long").alias("byte_offset"), (1 + F.length("p") - F.length(F.replace("p", F.lit("\n"), F.lit("")))).cast("long").alias("line"), (1 + F.octet_length(F.substring_index("p", "\n", -1))).cast("long").alias("col"))
+    """The second and third quarter of each text as a span of bytes."""
+    n = F.length("text")
+    upto = lambda part: F.octet_length(F.expr(f"substr(text, 1, {part})"))
+    d = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(n >= 4).select("doc_id", "text", upto("length(text) div 4").alias("a"), upto("3 * length(text) div 4").alias("b"))
+    fields = ("byte_start", "byte_end", "line_start", "column_start", "line_end", "column_end")
+
+    def found(text, a, b):
+        place = similarity.located(similarity.line_starts(text), [], a, b)
+        return {f: place[f] for f in fields}
+
+    return per_row(d, ["text", "a", "b"], f"at struct<{', '.join(f + ': bigint' for f in fields)}>", found).select("doc_id", "at.*")
 
 
 WORDS_SQL = "w AS (SELECT doc_id, source, w.pos - 1 AS pos, w.word AS word FROM (SELECT doc_id, source, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'pos': i, 'word': ws[i]})) AS w FROM (SELECT doc_id, source, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS ws FROM documents)))"
 
 
-def words(t) -> DataFrame:
-    ws = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0B]+"), lambda x: x != "")
-    return t("documents").select("doc_id", "source", F.posexplode(ws).alias("pos", "word"))
+def split_words():
+    return F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0B]+"), lambda x: x != "")
 
 
 @query(f"""WITH {WORDS_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(active) AS BIGINT) AS sum_active, CAST(max(active) AS BIGINT) AS last_active
 FROM (SELECT doc_id, CASE WHEN m = 1 THEN NULL ELSE pos - coalesce(sum(m) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS active
   FROM (SELECT doc_id, pos, CASE WHEN word IN ('the', 'of', 'and', 'de', 'la') THEN 1 ELSE 0 END AS m FROM w)) GROUP BY doc_id""")
 def active_index(t):
-    w = words(t).withColumn("m", F.col("word").isin("the", "of", "and", "de", "la").cast("int"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return w.withColumn("active", F.when(F.col("m") == 0, F.col("pos") - before)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("active").alias("sum_active"), F.max("active").cast("long").alias("last_active"))
+    masked = F.transform("words", lambda w: w.isin("the", "of", "and", "de", "la"))
+    d = t("documents").select("doc_id", split_words().alias("words")).where("size(words) > 0").select("doc_id", F.transform("words", lambda w, i: i).alias("units"), masked.alias("mask"))
+    d = per_row(d, ["units", "mask"], "active array<bigint>", tiling.active_index)
+    shown = F.filter("active", lambda a: a.isNotNull())
+    total = F.when(F.size(shown) > 0, F.aggregate(shown, F.lit(0).cast("long"), lambda s, a: s + a))
+    return d.select("doc_id", F.size("active").cast("long").alias("n_tokens"), total.alias("sum_active"), F.array_max("active").alias("last_active"))
 
 
 GRAMS_SQL = f"{WORDS_SQL}, g AS (SELECT doc_id, source, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS gram, count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS n FROM w)"
 
 
-def eight_grams(t) -> DataFrame:
-    ws = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0B]+"), lambda x: x != "")
-    d = t("documents").select("doc_id", "source", ws.alias("ws")).where("size(ws) >= 8")
-    grams = F.transform(F.sequence(F.lit(1), F.size("ws") - 7), lambda i: F.array_join(F.slice("ws", i, 8), " "))
-    return d.select("doc_id", "source", F.posexplode(grams).alias("pos", "gram"))
+ALLOWED_SQL = f"l.kind = 'current' AND (r.kind = 'historical' OR l.doc_id < r.doc_id)"
 
 
-@query(f"WITH {GRAMS_SQL}, k AS (SELECT DISTINCT source, gram, doc_id FROM g WHERE n = 8) SELECT DISTINCT l.doc_id AS left_id, r.doc_id AS right_id FROM k l JOIN k r ON l.source = r.source AND l.gram = r.gram AND l.doc_id < r.doc_id")
+@query(f"""WITH {GRAMS_SQL}, k AS (SELECT DISTINCT source, gram, doc_id, {KIND_SQL} AS kind FROM g WHERE n = 8)
+SELECT DISTINCT l.doc_id AS left_id, r.doc_id AS right_id FROM k l JOIN k r ON l.source = r.source AND l.gram = r.gram WHERE {ALLOWED_SQL}""")
 def kgram_candidates(t):
-    k = eight_grams(t).select("source", "gram", "doc_id").distinct()
-    r = k.select("source", "gram", F.col("doc_id").alias("right_id"))
-    return k.join(r, ["source", "gram"]).where("doc_id < right_id").select(F.col("doc_id").alias("left_id"), "right_id").distinct()
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - 7), lambda i: F.xxhash64(F.array_join(F.slice("words", i, 8), " ")))
+    d = t("documents").select("doc_id", "source", kind().alias("kind"), split_words().alias("words"))
+    keys = F.when(F.size("words") >= 8, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+    keyed = d.select(F.col("source").alias("assignment_id"), F.col("doc_id").alias("submission_id"), "kind", F.col("doc_id").alias("ord"), keys.alias("keys"))
+    return similarity.candidates(keyed).select("left_id", "right_id")
 
 
-@query(f"""WITH {GRAMS_SQL}, p AS (SELECT l.doc_id AS left_id, r.doc_id AS right_id, l.pos AS l, l.pos - r.pos AS diag FROM g l JOIN g r ON l.source = r.source AND l.gram = r.gram AND l.doc_id < r.doc_id AND l.n = 8 AND r.n = 8)
+@query(f"""WITH {GRAMS_SQL}, h AS (SELECT *, {KIND_SQL} AS kind FROM g WHERE n = 8),
+p AS (SELECT l.doc_id AS left_id, r.doc_id AS right_id, l.pos AS l, l.pos - r.pos AS diag FROM h l JOIN h r ON l.source = r.source AND l.gram = r.gram WHERE {ALLOWED_SQL})
 SELECT left_id, right_id, CAST(min(l) AS BIGINT) AS left_start, CAST(min(l) - diag AS BIGINT) AS right_start, CAST(count(*) + 7 AS BIGINT) AS length
 FROM (SELECT *, l - row_number() OVER (PARTITION BY left_id, right_id, diag ORDER BY l) AS island FROM p) GROUP BY left_id, right_id, diag, island""")
 def maximal_runs(t):
-    g = eight_grams(t)
-    r = g.select("source", "gram", F.col("doc_id").alias("right_id"), F.col("pos").alias("r"))
-    p = g.join(r, ["source", "gram"]).where("doc_id < right_id").select(F.col("doc_id").alias("left_id"), "right_id", F.col("pos").alias("l"), (F.col("pos") - F.col("r")).alias("diag"))
-    island = F.col("l") - F.row_number().over(Window.partitionBy("left_id", "right_id", "diag").orderBy("l"))
-    runs = p.withColumn("island", island).groupBy("left_id", "right_id", "diag", "island").agg(F.min("l").cast("long").alias("left_start"), (F.count("*") + 7).alias("length"))
-    return runs.select("left_id", "right_id", "left_start", (F.col("left_start") - F.col("diag")).alias("right_start"), "length")
+    d = t("documents")
+    tokens = similarity.prepared(prose_submissions(d), None).persist()
+    found = similarity.runs(similarity.candidates(tokens), tokens, 8)
+    ends = F.split("pair_id", "__")
+    return found.select(ends[0].cast("long").alias("left_id"), ends[1].cast("long").alias("right_id"), *(F.col(c).cast("long").alias(c) for c in ("left_start", "right_start", "length")))
 
 
 @query("SELECT o_orderkey, CAST(greatest(10, least(15, (3 * least(a, b) + 99) // 100)) AS BIGINT) AS threshold FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) % 700 AS a, o_custkey AS b FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice, o_custkey FROM orders))")
 def tile_threshold(t):
-    return t("orders").select("o_orderkey", F.greatest(F.lit(10), F.least(F.lit(15), F.expr("(3 * least(floor(o_totalprice) % 700, o_custkey) + 99) div 100"))).cast("long").alias("threshold"))
+    o = t("orders").select("o_orderkey", F.expr("cast(floor(o_totalprice) % 700 as bigint)").alias("a"), F.col("o_custkey").alias("b"))
+    return per_row(o, ["a", "b"], "threshold bigint", tiling.threshold).select("o_orderkey", "threshold")
 
 
 @query(f"""WITH {WORDS_SQL} SELECT doc_id, CAST(min(pos) AS BIGINT) AS tile_start, CAST(count(*) AS BIGINT) AS length FROM (SELECT doc_id, pos, sum(cut) OVER (PARTITION BY doc_id ORDER BY pos) AS island
   FROM (SELECT doc_id, pos, CASE WHEN ends_with(lag(word) OVER (PARTITION BY doc_id ORDER BY pos), '.') THEN 1 ELSE 0 END AS cut FROM w)) GROUP BY doc_id, island""")
 def tile_split(t):
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    cut = F.coalesce(F.endswith(F.lag("word").over(w), F.lit(".")), F.lit(False)).cast("int")
-    return words(t).withColumn("cut", cut).withColumn("island", F.sum("cut").over(w)).groupBy("doc_id", "island").agg(F.min("pos").cast("long").alias("tile_start"), F.count("*").alias("length")).drop("island")
+    """A text held against itself, with a unit left out behind each word that ends in a dot."""
+    d = t("documents").select("doc_id", split_words().alias("words")).where("size(words) > 0").select("doc_id", F.transform("words", lambda w: F.endswith(w, F.lit("."))).alias("dots"))
+
+    def parts(dots):
+        units, unit = [], 0
+        for dot in dots:
+            units.append(unit)
+            unit += 1 + dot
+        return [{"tile_start": a, "length": n} for a, _, n in tiling.split_on_gaps([(0, 0, len(units))], units, units)]
+
+    return per_row(d, ["dots"], "tiles array<struct<tile_start: bigint, length: bigint>>", parts).select("doc_id", F.inline("tiles"))
 
 
 @query("""WITH a AS (SELECT l_orderkey, sum(l_quantity) AS exact, sum(l_quantity + l_linenumber) AS eff, max(l_quantity) AS longest, count(*) AS n, 400.0 AS ls, 250.0 AS rs FROM lineitem GROUP BY l_orderkey),
@@ -238,36 +275,51 @@ def latest_completed_or_latest(t):
     return t("orders").groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", "b.o_orderkey", "b.o_orderstatus")
 
 
-STATUS = "CASE WHEN uploads > 0 THEN 'preparing' WHEN running > 0 THEN 'running' WHEN NOT (cur >= 1 AND cur + hist >= 2) THEN 'not_ready' WHEN done > 0 THEN 'current' WHEN first_failed THEN 'failed' WHEN old > 0 THEN 'stale' ELSE 'ready' END"
+RUN_SQL = "CASE event_id % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' ELSE 'QUEUED' END"
 
 
-@query(f"""SELECT user_id, {STATUS} AS status FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase' AND value > 400) AS uploads, count(*) FILTER (WHERE event_type = 'signup') AS running, count(*) FILTER (WHERE event_type = 'click') AS cur,
- count(*) FILTER (WHERE event_type = 'view') AS hist, count(*) FILTER (WHERE event_type = 'purchase' AND event_id % 3 = 0) AS done, coalesce(first(event_id % 2 = 0 ORDER BY event_id), FALSE) AS first_failed, count(*) FILTER (WHERE event_id % 7 = 0) AS old FROM events GROUP BY user_id)""")
+@query(f"""WITH e AS (SELECT *, event_type = 'purchase' AND value > 60 AS is_run, 1 + event_id % 2 AS version, {RUN_SQL} AS run_status FROM events),
+u AS (SELECT user_id, bool_or(event_type = 'signup' AND value > 180) AS uploads, bool_or(event_type = 'error' AND value > 180) AS running, count(*) FILTER (WHERE event_type = 'click' AND value > 100) AS cur,
+  count(*) FILTER (WHERE event_type = 'view') AS hist, bool_or(is_run AND version = 2 AND run_status = 'COMPLETED') AS done, bool_or(is_run AND version < 2 AND run_status = 'COMPLETED') AS done_before,
+  arg_min(run_status, event_id) FILTER (WHERE is_run AND version = 2) AS first_now FROM e GROUP BY user_id)
+SELECT user_id, CASE WHEN uploads THEN 'preparing' WHEN running THEN 'running' WHEN NOT (cur >= 1 AND cur + hist >= 2) THEN 'not_ready' WHEN done THEN 'current' WHEN first_now = 'FAILED' THEN 'failed'
+  WHEN done_before THEN 'stale' ELSE 'ready' END AS status FROM u""")
 def status_derivation(t):
-    kind, n = F.col("event_type"), F.col("event_id")
+    what, n, value = F.col("event_type"), F.col("event_id"), F.col("value")
+    said = F.when(n % 3 == 0, "COMPLETED").when(n % 3 == 1, "FAILED").otherwise("QUEUED")
+    run = F.when((what == "purchase") & (value > 60), F.struct(n.alias("n"), said.alias("status"), (1 + n % 2).alias("input_version")))
     e = t("events").groupBy("user_id").agg(
-        F.count_if((kind == "purchase") & (F.col("value") > 400)).alias("uploads"), F.count_if(kind == "signup").alias("running"), F.count_if(kind == "click").alias("cur"), F.count_if(kind == "view").alias("hist"),
-        F.count_if((kind == "purchase") & (n % 3 == 0)).alias("done"), F.coalesce(F.min_by(n % 2 == 0, n), F.lit(False)).alias("first_failed"), F.count_if(n % 7 == 0).alias("old"),
+        F.bool_or((what == "signup") & (value > 180)).alias("uploads"), F.bool_or((what == "error") & (value > 180)).alias("running"),
+        F.count_if((what == "click") & (value > 100)).alias("cur"), F.count_if(what == "view").alias("hist"), F.array_sort(F.collect_list(run)).alias("runs"),
     )
-    return e.select("user_id", F.expr(STATUS).alias("status"))
+    return e.select("user_id", state.comparison_status(*(F.col(c) for c in ("uploads", "running", "cur", "hist")), F.lit(2), F.col("runs")).alias("status"))
 
 
-@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+@query("""WITH v AS (SELECT o_custkey, o_orderkey, 1 + o_orderkey % 3 AS version, o_orderdate, o_custkey % 4 = 0 AND o_orderkey % 7 = 0 AS active FROM orders),
+w AS (SELECT *, bool_or(active) OVER (PARTITION BY o_custkey) AS has, row_number() OVER (PARTITION BY o_custkey ORDER BY version DESC, o_orderdate DESC, o_orderkey) AS k FROM v)
+SELECT o_custkey, o_orderkey FROM w WHERE active OR (NOT has AND k = 1)""")
 def newest_template(t):
-    return t("orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderpriority", "o_orderdate", "o_orderkey")).alias("o_orderkey"))
+    versions = t("orders").select(F.col("o_custkey").alias("assignment_id"), F.col("o_orderkey").alias("template_id"), (1 + F.col("o_orderkey") % 3).alias("version_number"), F.col("o_orderdate").alias("created_at"), ((F.col("o_custkey") % 4 == 0) & (F.col("o_orderkey") % 7 == 0)).alias("is_active"))
+    return state.promote_newest(versions).where("is_active").select(F.col("assignment_id").alias("o_custkey"), F.col("template_id").alias("o_orderkey"))
 
 
-@query(f"WITH {SUBS} SELECT doc_id FROM s WHERE NOT (source IN ('src1', 'src2') AND kind = 'historical')")
+@query(f"""WITH {SUBS} SELECT 'submission' AS what, CAST(doc_id AS VARCHAR) AS id, 0 AS version FROM s WHERE NOT (source = 'src1' AND kind = 'historical')
+UNION ALL SELECT 'result', CAST(l.doc_id AS VARCHAR), 0 FROM labels l JOIN s ON s.doc_id = l.doc_id WHERE source <> 'src1'
+UNION ALL SELECT 'assignment', source, CASE source WHEN 'src1' THEN 2 ELSE 1 END FROM (SELECT DISTINCT source FROM s)""")
 def delete_category(t):
-    gone = subs(t).where("source in ('src1', 'src2') and kind = 'historical'").select("doc_id")
-    return subs(t).select("doc_id").join(gone, "doc_id", "left_anti")
+    """The historical submissions of an assignment go: labels stand for results."""
+    s = subs(t).select(F.col("doc_id").alias("submission_id"), F.col("source").alias("assignment_id"), "kind")
+    results = t("labels").select(F.col("doc_id").alias("submission_id")).join(s, "submission_id").select("submission_id", "assignment_id")
+    assignments = s.select("assignment_id").distinct().withColumn("comparison_input_version", F.lit(1))
+    s, results, assignments = state.delete_category(s, results, assignments, "src1", "historical")
+    rows = lambda what, df, key, version: df.select(F.lit(what).alias("what"), F.col(key).cast("string").alias("id"), version.alias("version"))
+    return rows("submission", s, "submission_id", F.lit(0)).unionAll(rows("result", results, "submission_id", F.lit(0))).unionAll(rows("assignment", assignments, "assignment_id", F.col("comparison_input_version")))
 
 
 @query("SELECT c_custkey, CASE WHEN k = 1 THEN f ELSE f || '-' || k END AS folder FROM (SELECT c_custkey, f, row_number() OVER (PARTITION BY f ORDER BY c_custkey) AS k FROM (SELECT c_custkey, c_mktsegment || '-' || c_nationkey AS f FROM customer))")
 def folder_dedup(t):
-    f = F.concat_ws("-", "c_mktsegment", "c_nationkey")
-    k = F.row_number().over(Window.partitionBy("f").orderBy("c_custkey"))
-    return t("customer").withColumn("f", f).withColumn("k", k).select("c_custkey", F.when(F.col("k") == 1, F.col("f")).otherwise(F.concat_ws("-", "f", "k")).alias("folder"))
+    c = before(t("customer").withColumn("f", F.concat_ws("-", "c_mktsegment", "c_nationkey")).select("c_custkey", "f"), ["f"], ["c_custkey"], earlier=F.lit(1))
+    return c.select("c_custkey", F.when(F.col("earlier") == 0, F.col("f")).otherwise(F.concat_ws("-", "f", F.col("earlier") + 1)).alias("folder"))
 
 
 @query("SELECT c_custkey, 'SUB-' || upper(substr(sha256(c_name), 1, 10)) AS alias FROM customer")
@@ -310,14 +362,18 @@ def distinct_keys(t):
     return keys.where("k is not null").distinct()
 
 
-@query("SELECT l_orderkey, l_linenumber, lower(l_returnflag) AS kind, CAST(round(l_discount * 100) AS BIGINT) || '%' AS percent FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, lower(l_returnflag) AS kind, CAST(round(l_discount * 100) AS BIGINT) || '%' AS percent,
+  (CAST(l_quantity AS BIGINT) * 25 // 10) || '.' || (CAST(l_quantity AS BIGINT) * 25 % 10) || '%' AS tenths FROM lineitem""")
 def display_values(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.lower("l_returnflag").alias("kind"), F.concat(F.round(F.col("l_discount") * 100).cast("long"), F.lit("%")).alias("percent"))
+    from tessella.functions.columns import fixed_percent
+
+    whole = F.concat(F.round(F.col("l_discount") * 100).cast("long"), F.lit("%"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.lower("l_returnflag").alias("kind"), whole.alias("percent"), fixed_percent(F.col("l_quantity") / 40).alias("tenths"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
+@query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id) AND NOT EXISTS (SELECT 1 FROM pages WHERE page_id = documents.doc_id)")
 def unreferenced_batches(t):
-    return t("customer").select("c_custkey").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").join(t("supplier").select(F.col("s_suppkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return state.unreferenced(t("documents").select("doc_id"), t("labels"), t("pages").select(F.col("page_id").alias("doc_id")), key="doc_id")
 
 
 @query("SELECT c_custkey, c_name, n_orders, last_key FROM customer JOIN (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n_orders, max(o_orderkey) AS last_key FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE'")

@@ -21,11 +21,12 @@ from tessella.config import Limits
 #: Suffixes of each language's source files.
 SUFFIXES = {"java": (".java",), "c": (".c", ".h"), "cpp": (".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx", ".h")}
 FILES = "batch_id string, display_name string, relative_path string, archive_path string, contents string, error string"
+#: What is said of submissions that were left out.
 WARNING = ("1 submission was skipped because it had no supported source files.", "{} submissions were skipped because they had no supported source files.")
 
 
 class ArchiveError(ValueError):
-    pass
+    """Its messages are fixed values, which upload_message() tells apart."""
 
 
 class NoSource(ArchiveError):
