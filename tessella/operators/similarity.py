@@ -25,7 +25,7 @@ from tessella.functions import lexer, tiling
 
 SOURCE_MAP = "array<struct<file_path: string, byte_start: int, byte_end: int>>"
 SUBMISSIONS = f"submission_id string, assignment_id string, kind string, ord long, language string, source string, source_map {SOURCE_MAP}"
-TOKENS = "tokens array<string>, units array<int>, starts array<int>, ends array<int>, comments array<struct<text: string, byte_start: int, byte_end: int>>"
+TOKENS = "tokens array<string>, units array<int>, starts array<int>, ends array<int>, comments array<struct<text: string, byte_start: int, byte_end: int>>, lines array<int>"
 SPAN = "struct<byte_start: int, byte_end: int, file_path: string, line_start: int, column_start: int, line_end: int, column_end: int, token_start: int, token_end: int>"
 MATCHES = f"array<struct<match_id: string, kind: string, left: {SPAN}, right: {SPAN}, matched_token_count: int>>"
 RESULT = f"pair_id string, left_id string, right_id string, similarity_score double, matched_token_count int, matches {MATCHES}"
@@ -35,16 +35,16 @@ CHUNK, ALONE, HELD = 256, 1024, 1_000_000
 
 
 def tokenise(submissions: DataFrame) -> DataFrame:
-    """submissions with their tokens; the source is kept for line numbers."""
+    """submissions with their tokens and the bytes at which their lines begin."""
     schema = T.StructType([*submissions.schema.fields, *T.StructType.fromDDL(TOKENS).fields])
-    types = [pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.struct([("text", pa.string()), ("byte_start", pa.int32()), ("byte_end", pa.int32())]))]
+    types = [pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.struct([("text", pa.string()), ("byte_start", pa.int32()), ("byte_end", pa.int32())])), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for source, language, files in zip(*(batch.column(c).to_pylist() for c in ("source", "language", "source_map"))):
                 p = lexer.lex(source or "", language, tuple(f["byte_start"] for f in (files or [])[1:]))
-                rows.append(([t.norm for t in p.tokens], [t.unit_index for t in p.tokens], [t.byte_start for t in p.tokens], [t.byte_end for t in p.tokens], [dict(zip(("text", "byte_start", "byte_end"), c)) for c in p.comments]))
+                rows.append(([t.norm for t in p.tokens], [t.unit_index for t in p.tokens], [t.byte_start for t in p.tokens], [t.byte_end for t in p.tokens], [dict(zip(("text", "byte_start", "byte_end"), c)) for c in p.comments], line_starts(source or "")))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=schema.names)
 
     return submissions.mapInArrow(run, schema)
@@ -179,7 +179,7 @@ class _Prepared:
         self.side = tiling.Side(row["tokens"], row["units"], row["mask"])
         self.active = self.side.active
         self.grams = tiling.Grams(row["tokens"], row["mask"], params.gst_min_match_length)
-        self.lines = line_starts(row["source"] or "")
+        self.lines = row["lines"]
         self.said: dict[str, list[int]] = {}
         for k, n in long_comments(self.comments, max(params.minimum_comment_length, params.comment_floor)):
             self.said.setdefault(n, []).append(k)
@@ -202,7 +202,7 @@ class _Sides:
         self.known: OrderedDict[tuple, tuple[Any, int]] = OrderedDict()
 
     def get(self, name: str, sides: pa.StructArray, k: int) -> Any:
-        key = name, sides.field("source")[k].as_py()  # rows that repeat an id are told apart by their text
+        key = name, sides.field("digest")[k].as_py()  # rows that repeat an id are told apart by their text
         if key in self.known:
             self.known.move_to_end(key)
             return self.known[key][0]
@@ -226,11 +226,11 @@ def compare(left: _Prepared, right: _Prepared, params: Params = Params()) -> tup
 
 
 def sided(pairs: DataFrame, tokens: DataFrame, *columns: str) -> DataFrame:
-    """pairs with both sides as structs; a side that is missing is an error. Dealt by right_id, which no assignment has in more pairs than it has submissions, to the session's number of
+    """pairs with both sides as structs, with a digest in place of the text; a side that is missing is an error. Dealt by right_id, which no assignment has in more pairs than it has submissions, to the session's number of
     partitions: comparing is work for the processor, so partitions of few bytes are not put together."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    l = tokens.select(F.col("submission_id").alias("left_id"), F.struct(*columns).alias("left"))
-    r = tokens.select(F.col("submission_id").alias("right_id"), F.struct(*columns).alias("right"))
+    side = F.struct(*columns, F.xxhash64("source").alias("digest"))
+    l, r = (tokens.select(F.col("submission_id").alias(f"{s}_id"), side.alias(s)) for s in ("left", "right"))
     both = pairs.join(l, "left_id", "left").repartition(n, "right_id").join(r, "right_id", "left")
     known = lambda side: F.when(F.col(side).isNull(), F.raise_error(F.concat(F.lit(f"unknown {side} submission "), F.coalesce(f"{side}_id", F.lit("")))).cast(both.schema[side].dataType)).otherwise(F.col(side)).alias(side)
     return both.select("pair_id", "left_id", "right_id", known("left"), known("right"))
@@ -249,7 +249,7 @@ def compared(pairs: DataFrame, tokens: DataFrame, params: Params = Params()) ->
                 rows.append({"pair_id": pair, "left_id": left, "right_id": right, "similarity_score": value, "matched_token_count": exact, "matches": matches})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return sided(pairs, tokens, "tokens", "units", "starts", "ends", "comments", "mask", "source", "source_map").mapInArrow(run, schema)
+    return sided(pairs, tokens, "tokens", "units", "starts", "ends", "comments", "mask", "lines", "source_map").mapInArrow(run, schema)
 
 
 def bad_maps(submissions: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def tiles(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] + [pa.int32()] * 4)], names=["pair_id", "seq", "left_start", "right_start", "length"])
 
-    return sided(pairs, tokens, "tokens", "mask", "source").mapInArrow(run, "pair_id string, seq int, left_start int, right_start int, length int")
+    return sided(pairs, tokens, "tokens", "mask").mapInArrow(run, "pair_id string, seq int, left_start int, right_start int, length int")
 
 
 def runs(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
@@ -312,4 +312,4 @@ def runs(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] + [pa.int32()] * 3)], names=["pair_id", "left_start", "right_start", "length"])
 
-    return sided(pairs, tokens, "tokens", "mask", "source").mapInArrow(run, "pair_id string, left_start int, right_start int, length int")
+    return sided(pairs, tokens, "tokens", "mask").mapInArrow(run, "pair_id string, left_start int, right_start int, length int")

@@ -46,12 +46,22 @@ def is_junk(path: str) -> bool:
     return any(p.lower() == "__macosx" for p in parts) or parts[-1].lower() in (".ds_store", "thumbs.db") or parts[-1].startswith("._")
 
 
+#: The order of signs before digits and letters in the root collation.
+SIGNS = "_-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
+
+
 def path_key(path: str) -> tuple:
-    """An order like that of dictionaries: letters without accents and case first, lower case before upper case among equals."""
-    plain = unicodedata.normalize("NFKD", path)
-    base = "".join(c for c in plain if not unicodedata.combining(c)).lower()
-    weight = [(0 if c in "_-, ;:!?./" else 1 if not c.isalnum() else 2 if c.isdigit() else 3, "_-,;:!?./".find(c), c) for c in base]
-    return weight, plain.swapcase()
+    """The order of the root collation, as UNICODE in SQL: letters first without accents and case; among equals plain before accented, then lower case before upper case."""
+    base, accents, upper = [], [], []
+    for c in unicodedata.normalize("NFD", path.replace("ß", "ss")):
+        if unicodedata.combining(c) and base:
+            accents[-1] += c
+            continue
+        kind = 0 if c.isspace() else 1 if c in SIGNS else 2 if not c.isalnum() else 3 if c.isdigit() else 4
+        base.append((kind, SIGNS.find(c), c.lower()))
+        accents.append("")
+        upper.append(c.isupper())
+    return base, accents, upper, path
 
 
 def entries(data: bytes) -> list[tuple[str, bool, zipfile.ZipInfo]]:

@@ -1,6 +1,8 @@
 """Archives built in memory, status rules, deletions, and the queue."""
 
 import io
+import random
+import string
 import zipfile
 from datetime import datetime
 
@@ -63,6 +65,15 @@ def test_bulk():
             archives.bulk("java", pack(files))
 
 
+def test_paths_are_ordered_as_in_sql(spark):
+    rng = random.Random(1)
+    signs = string.ascii_letters + string.digits + "_-./ ()+@#$%&~,;!='[]{}^`éÄößñ"
+    names = sorted({"".join(rng.choices(signs, k=rng.randrange(1, 8))) for _ in range(1500)} | set(signs) | {"Resume", "résumé", "resume", "Résumé", "resumé"})
+    rng.shuffle(names)
+    by_sql = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(F.collate("n", "UNICODE"), "n").collect()]
+    assert sorted(names, key=archives.path_key) == by_sql
+
+
 def test_ingest(spark, tmp_path):
     (tmp_path / "s1.zip").write_bytes(pack({"b.java": "class B {}", "A.java": "class Ä {}\n"}))
     (tmp_path / "s2.zip").write_bytes(b"broken")
