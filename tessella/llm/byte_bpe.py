@@ -30,9 +30,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Below this code point the regex module and the tokenizers library class every character alike (tested).
 ALIKE_BELOW = "՘"
 #: Pre-tokens kept in each of the two generations of the cache.
-CACHE = 150_000
+CACHE = 75_000
 #: Characters that are encoded together, and the largest tree that is merged in step with others.
-CHUNK, IN_STEP = 2_000_000, 64
+CHUNK, IN_STEP = 1_000_000, 64
 NONE = 1 << 62
 #: Not ids: what stands beside a pre-token, and what is left of a merged symbol. Both are above all ids.
 GONE, NO_ID = (1 << 24) - 2, (1 << 24) - 1
