@@ -172,11 +172,8 @@ ALLOWED_SQL = f"l.kind = 'current' AND (r.kind = 'historical' OR l.doc_id < r.do
 @query(f"""WITH {GRAMS_SQL}, k AS (SELECT DISTINCT source, gram, doc_id, {KIND_SQL} AS kind FROM g WHERE n = 8)
 SELECT DISTINCT l.doc_id AS left_id, r.doc_id AS right_id FROM k l JOIN k r ON l.source = r.source AND l.gram = r.gram WHERE {ALLOWED_SQL}""")
 def kgram_candidates(t):
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - 7), lambda i: F.xxhash64(F.array_join(F.slice("words", i, 8), " ")))
-    d = t("documents").select("doc_id", "source", kind().alias("kind"), split_words().alias("words"))
-    keys = F.when(F.size("words") >= 8, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
-    keyed = d.select(F.col("source").alias("assignment_id"), F.col("doc_id").alias("submission_id"), "kind", F.col("doc_id").alias("ord"), keys.alias("keys"))
-    return similarity.candidates(keyed).select("left_id", "right_id")
+    tokens = similarity.prepared(prose_submissions(t("documents")), None).persist()
+    return similarity.candidates(tokens).select(*(F.col(c).cast("long").alias(c) for c in ("left_id", "right_id")))
 
 
 @query(f"""WITH {GRAMS_SQL}, h AS (SELECT *, {KIND_SQL} AS kind FROM g WHERE n = 8),
@@ -184,8 +181,7 @@ p AS (SELECT l.doc_id AS left_id, r.doc_id AS right_id, l.pos AS l, l.pos - r.po
 SELECT left_id, right_id, CAST(min(l) AS BIGINT) AS left_start, CAST(min(l) - diag AS BIGINT) AS right_start, CAST(count(*) + 7 AS BIGINT) AS length
 FROM (SELECT *, l - row_number() OVER (PARTITION BY left_id, right_id, diag ORDER BY l) AS island FROM p) GROUP BY left_id, right_id, diag, island""")
 def maximal_runs(t):
-    d = t("documents")
-    tokens = similarity.prepared(prose_submissions(d), None).persist()
+    tokens = similarity.prepared(prose_submissions(t("documents")), None).persist()
     found = similarity.runs(similarity.candidates(tokens), tokens, 8)
     ends = F.split("pair_id", "__")
     return found.select(ends[0].cast("long").alias("left_id"), ends[1].cast("long").alias("right_id"), *(F.col(c).cast("long").alias(c) for c in ("left_start", "right_start", "length")))
