@@ -116,12 +116,12 @@ def _best(scores: list[Column], names: list[str]) -> Column:
     return out
 
 
-def identify(rows: DataFrame, text: Column, declared: Column, address: Column, sample: int = SAMPLE) -> DataFrame:
-    """Per row: doc_id, declared, text_lang (by the text alone), lang_id, posterior, and kept: whether a language fits better than none; rid, too, if the rows have it."""
+def identify(rows: DataFrame, text: Column, declared: Column, address: Column, sample: int = SAMPLE, key: str | None = None) -> DataFrame:
+    """Per row: doc_id, declared, text_lang (by the text alone), lang_id, posterior, and kept: whether a language fits better than none; and rid, if the rows have a key."""
     prepare(rows.sparkSession)
     host = F.coalesce(F.regexp_extract(F.lower(address), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]*)", 1), F.lit(""))
     code = F.regexp_extract(F.lower(F.coalesce(declared, F.lit(""))), "^[a-z]{2,3}", 0)
-    rid = F.col("rid") if "rid" in rows.columns else F.lit(None).cast("long")
+    rid = F.col(key) if key else F.lit(None).cast("long")
     base = rows.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), code.alias("declared"), host.alias("host"), F.coalesce(text, F.lit("")).alias("text"))
     langs, model = train(base.where("declared <> '' and length(text) >= 3"), sample)
     names = [*langs, NONE]
@@ -158,7 +158,7 @@ def identify(rows: DataFrame, text: Column, declared: Column, address: Column, s
     top = F.greatest(*f) if len(f) > 1 else f[0]
     posterior = F.lit(1.0) / sum((F.exp(x - top) for x in f), F.lit(0.0))
     out = fused.select("rid", "doc_id", "declared", "text_lang", "tells", _best(f, names).alias("lang_id"), posterior.alias("posterior")).withColumn("kept", ~F.col("tells") | (F.col("lang_id") != NONE)).drop("tells")
-    return out if "rid" in rows.columns else out.drop("rid")
+    return out if key else out.drop("rid")
 
 
 def identify_documents(documents: DataFrame) -> DataFrame:
@@ -180,5 +180,5 @@ def keep_known(documents: DataFrame) -> DataFrame:
     """documents without those of no language, row by row: rows that repeat a doc_id, or have none, are judged by themselves. All columns stay."""
     prepare(documents.sparkSession)
     rows = keyed(documents, F.col("doc_id").cast("long").alias("doc_id"), text_column(), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    gone = settle(identify(rows, F.col("text"), F.col("lang"), F.col("source")).where("not kept").select("rid"))
+    gone = settle(identify(rows, F.col("text"), F.col("lang"), F.col("source"), key="rid").where("not kept").select("rid"))
     return unpacked(rows.join(sized(gone), "rid", "left_anti"))
