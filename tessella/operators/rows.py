@@ -7,13 +7,21 @@ from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Stretches of the order that a key's rows are dealt to.
 STRETCHES = 32
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of bounded rows and bytes, so that a Python worker never holds many texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def before(df: DataFrame, keys: list[str], order: list[str], **values: Column) -> DataFrame:
