@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.functions import tiling
 from tessella.operators import grams, similarity, state
 from tessella.operators.rows import before, per_row
-from tessella.plans.inputs import KIND_SQL, kind, numbered_submissions, prose_submissions
+from tessella.plans.inputs import KIND_SQL, kind, numbered_submissions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,10 +180,7 @@ p AS (SELECT l.doc_id AS left_id, r.doc_id AS right_id, l.pos AS l, l.pos - r.po
 SELECT left_id, right_id, CAST(min(l) AS BIGINT) AS left_start, CAST(min(l) - diag AS BIGINT) AS right_start, CAST(count(*) + 7 AS BIGINT) AS length
 FROM (SELECT *, l - row_number() OVER (PARTITION BY left_id, right_id, diag ORDER BY l) AS island FROM p) GROUP BY left_id, right_id, diag, island""")
 def maximal_runs(t):
-    tokens = similarity.prepared(prose_submissions(t("documents")), None).persist()
-    found = similarity.runs(similarity.candidates(tokens), tokens, 8)
-    ends = F.split("pair_id", "__")
-    return found.select(ends[0].cast("long").alias("left_id"), ends[1].cast("long").alias("right_id"), *(F.col(c).cast("long").alias(c) for c in ("left_start", "right_start", "length")))
+    return grams.runs(numbered_submissions(t("documents")), 8)
 
 
 @query("SELECT o_orderkey, CAST(greatest(10, least(15, (3 * least(a, b) + 99) // 100)) AS BIGINT) AS threshold FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) % 700 AS a, o_custkey AS b FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice, o_custkey FROM orders))")
