@@ -76,10 +76,15 @@ def measured(df: DataFrame) -> DataFrame:
     return map_arrow(df.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()), _measure, SCHEMA)
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, most: int, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of `most` labelled rows, a quarter more at most, chosen by the hash of doc_id, on the driver: the only data that a model is fitted on, bounded whatever the size of the corpus."""
+def labelled(stats: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """doc_id, features and label of all labelled rows; the largest label of a doc_id counts."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("label"))
     # both sides are written tables, so a hot partition of the join can be split
-    both = settle(stats.where("doc_id is not null").select("doc_id", "features").join(settle(known), "doc_id"))
+    return settle(stats.where("doc_id is not null").select("doc_id", "features").join(settle(known), "doc_id"))
+
+
+def labelled_sample(stats: DataFrame, labels: DataFrame, most: int, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of `most` labelled rows, a quarter more at most, chosen by the hash of doc_id, on the driver: the only data that a model is fitted on, bounded whatever the size of the corpus."""
+    both = labelled(stats, labels, label)
     rows = sorted((r.features, r.label) for r in hashed_sample(both, most, "doc_id").select("features", "label").collect())  # the fit does not rest on the order of partitions
     return np.array([f for f, _ in rows], float).reshape(len(rows), len(FEATURES)), np.array([y for _, y in rows], int)
