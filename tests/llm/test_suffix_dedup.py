@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -47,6 +48,46 @@ def test_edges(spark, monkeypatch, bucket):
     assert sd.dedup(df.limit(0)).count() == 0
 
 
+def joined_rows(df):
+    """Rows that the joins of a plan made when it ran."""
+    plan, rows = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if "Join" in node.nodeName():
+            rows.append(node.metrics().apply("numOutputRows").value())
+        inner = [node.executedPlan()] if "Adaptive" in node.nodeName() else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
+        for x in inner:
+            walk(x)
+
+    walk(plan)
+    return rows
+
+
+def test_only_rims_of_buckets_are_joined(spark, monkeypatch):
+    """What stands at the ends of two buckets is joined to three suffixes of a bucket, at most, not to all that repeat."""
+    monkeypatch.setattr(sd, "BUCKET", 1000)
+    rng = random.Random(3)
+    rows = [(rng.choice([5, 5, rng.randrange(40)]), rng.choice([1, 1, 2, rng.randrange(10**6)]), i, 0, 1) for i in range(20_000)]
+    ones, boths = Counter(r[0] for r in rows), Counter(r[:2] for r in rows)
+    classes = Counter(a for a, _ in boths)
+    out = sd.repeated(spark.createDataFrame(rows, sd.SUFFIX), len(rows))
+    got = {r.rid: r for r in out.collect()}
+    assert {i: g.both for i, g in got.items()} == {i: boths[a, b] > 1 for a, b, i, *_ in rows if ones[a] > 1}
+    speak = {(a, b) for a, b, i, *_ in rows if i in got and got[i].open}
+    assert speak >= {x for x in boths if ones[x[0]] > 1 and (boths[x] == 1 or classes[x[0]] > 1)}
+    made = joined_rows(out)
+    assert made and sum(made) <= 2 * 3 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 20)
+
+
+def test_windows_leave_in_pieces():
+    """However many windows a batch of texts has."""
+    text = "".join(random.choices("abc", k=20_000))
+    groups = [{"at": a, "n": 100} for a in range(0, 19_600, 100)]
+    batch = pa.RecordBatch.from_pylist([{"rid": k, "text": text, "groups": groups} for k in range(20)])
+    pieces = [b.num_rows for b in sd._windows(400)(iter([batch]))]
+    assert sum(pieces) == 20 * 19_600 and max(pieces) <= sd.PIECE + 100
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     tokens = [rng.integers(0, 50, 60_000), rng.integers(0, 2000, 60_000)]
