@@ -1,7 +1,10 @@
 """Operator 9 at a similarity: one row stays of those that are joined by links of SIMILAR or more, by the Jaccard similarity of their five-word shingles.
 
-Two texts of that similarity differ in ten of 64 bits of their SimHash on average, so blocks of equal bits, which serve a radius of four, cannot deal such
-fingerprints to shards. Minhash bands do: distinct texts that agree in a band of ROWS minhashes are a shard; a link of 0.8 is missed by all BANDS bands with a
+The five-word SimHash fingerprints of all distinct texts are linked as operator 9 does it: blocks of bits deal them to shards, whose BK-trees are searched within
+four bits. What such links join is a shard for verification, so each link of four bits or fewer is met, whatever the bands below do.
+
+Two texts of that similarity differ in ten of 64 bits of their SimHash on average, so blocks of equal bits, which serve a radius of four, do not find all
+links. Minhash bands deal the same fingerprints once more, for the links that are further: distinct texts that agree in a band of ROWS minhashes are a shard; a link of 0.8 is missed by all BANDS bands with a
 probability of (1 - 0.8 ** ROWS) ** BANDS, 3 in 100,000, closer ones less. In a shard the BK-tree of the five-word SimHash fingerprints is searched
 within RADIUS bits (a link of 0.8 is further with a probability of about 1 in 100,000), and what it finds is verified on the shingles (64-bit hashes), within the
 task that has the shard; only edges leave it. Shards with the same members are looked at once.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import keyed, map_arrow, prepare, settle, sized, text_column, unpacked
 from tessella.llm.components import components
 from tessella.llm.docstats import WORD
-from tessella.llm.simhash import LOWER, Forest
+from tessella.llm.simhash import LOWER, Forest, linked
 
 SHINGLE, SEED, SIMILAR, BANDS, ROWS, RADIUS = 5, 42, 0.8, 20, 4, 24
 #: Members of a shard that all others are held against before the tree is searched.
@@ -94,7 +97,8 @@ def _marks():
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in batch.column(2).to_pylist()]
         node = [np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64).item() for s in sets]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["rid", "doc_id", "node", "keys"])
+        columns = [pa.array(node, pa.int64()), pa.array([simhash(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["rid", "doc_id", "node", "fp", "keys"])
 
     return step
 
@@ -138,9 +142,11 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows(rid, doc_id, text) -> (rid, doc_id, node) of all rows and the verified edges of nodes, each named by its smallest rid."""
-    marked = settle(map_arrow(rows.select("rid", "doc_id", "text"), _marks, "rid long, doc_id long, node long, keys array<long>"))
-    nodes = settle(marked.groupBy("node").agg(F.min("rid").alias("rid"), F.min("keys").alias("keys")))
-    members = nodes.select("rid", F.explode("keys").alias("key"))
+    marked = settle(map_arrow(rows.select("rid", "doc_id", "text"), _marks, "rid long, doc_id long, node long, fp long, keys array<long>"))
+    nodes = settle(marked.groupBy("node").agg(F.min("rid").alias("rid"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    roots = settle(linked(settle(nodes.select("fp").distinct())).select(F.col("node").alias("near"), "root"))
+    fingered = nodes.join(sized(roots), F.col("fp") == F.col("near"), "left").select("rid", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"))
+    members = fingered.union(nodes.select("rid", F.explode("keys").alias("key")))
     shards = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).where("n > 1")
     live = settle(shards.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
     wanted = settle(members.join(live, "key").groupBy("rid").agg(F.collect_set("key").alias("keys")))

@@ -152,15 +152,20 @@ def shard_keys(fp, blocks: int, radius: int):
     return F.array(*keys)
 
 
+def linked(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """nodes(fp), each fingerprint once -> (node, root) of those that links join, by the BK-trees of shards of blocks of bits."""
+    shards = nodes.select(F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("shard"), "fp")
+    n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * 15 // 1_000_000 + 1)
+    return components(shards.repartition(n, "shard").mapInArrow(_shard_edges(radius), "u long, v long"))
+
+
 def group(documents: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Per row: doc_id, fingerprint and component_id, the smallest doc_id that links reach."""
     prepare(documents.sparkSession)
     marked = settle(map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_column()), _fingerprints, "doc_id long, fp long"))
     # A node is a fingerprint, whatever ids its rows have: rows that share an id are linked by their texts only.
     nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    shards = nodes.select(F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("shard"), "fp")
-    n = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * 15 // 1_000_000 + 1)
-    roots = components(shards.repartition(n, "shard").mapInArrow(_shard_edges(radius), "u long, v long"))
+    roots = linked(nodes, radius, blocks)
     rooted = settle(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = settle(rooted.join(lowest, "root").select("fp", "component_id"))

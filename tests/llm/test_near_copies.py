@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import Row
 
 import corpus_pipeline
@@ -85,3 +86,30 @@ def test_groups_of_many_near_copies(spark):
 def test_unique_texts_stay(spark):
     df = spark.createDataFrame([(7, "a unique text of its own here"), (7, "another text that two rows have"), (3, "another text that two rows have")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text[:3]) for r in near_copies.keep_one(df).collect()) == [(3, "ano"), (7, "a u")]
+
+
+def test_blocks_of_bits_deal_fingerprints(spark, monkeypatch):
+    """Links of four bits or fewer are met without any band: by the shards and BK-trees of operator 9."""
+
+    def marks(make=near_copies._marks):
+        step = make()
+
+        def unshared(batch):
+            out = step(batch)
+            return out.set_column(out.schema.get_field_index("keys"), "keys", pa.array([[rid] for rid in out.column("rid").to_pylist()], pa.list_(pa.int64())))
+
+        return unshared
+
+    monkeypatch.setattr(near_copies, "_marks", marks)
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(800)]
+        rows.append((2 * k, " ".join(w)))
+        w[rng.randrange(800)] = "changed"
+        rows.append((2 * k + 1, " ".join(w[:-3])))
+    points = [near_copies.simhash(near_copies.shingles(t)) for _, t in rows]
+    apart = [(points[k] ^ points[k + 1]) & (2**64 - 1) for k in range(0, len(rows), 2)]
+    close = {2 * k for k, x in enumerate(apart) if x.bit_count() <= 4}
+    got = {r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(close) > 25 and not got & {k + 1 for k in close} and got >= {2 * k for k in range(40)}
